@@ -2,13 +2,37 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe
+from . import bpe, decontaminate, quality
 from .common import read_table
 
 #: Where the public vocabulary files are; a parameter of every operator that uses one.
 TOKENIZERS = "/opt/tokenizers"
 
 
+def held_out(doc_id: str = "doc_id"):
+    """Rows that nothing is learnt from: crc32 of the id as text leaves 1 when divided by 3."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), ["doc_id"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"),
+        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+    )
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    field = quality.fit_lines(docs, read_table(spark, sf_dir, "labels").where(~held_out()))
+    out = quality.scored(docs, field, ["doc_id"])
+    return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = bpe.encode_decode(docs, f"{TOKENIZERS}/word_bpe_49k.json", keep=["doc_id"])
@@ -21,6 +45,8 @@ def op10_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_decontaminate": op4_decontaminate,
+    "op9_quality": op9_quality,
     "op10_bpe_roundtrip": op10_bpe_roundtrip,
 }
 SQL: dict[str, str] = {}
