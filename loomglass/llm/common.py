@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..shipping import ship
+
 #: Rows in one Arrow batch sent to Python; with it and CHUNK_BYTES a Python worker's memory stays bounded.
 BATCH_ROWS = 256
 #: Text bytes that a kernel handles at once; a longer document is a chunk of its own.
@@ -27,7 +29,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def configure(spark: SparkSession) -> None:
-    """Session settings the operators count on: small Arrow batches, and shuffle files that go with their query."""
+    """Session settings the operators count on: small Arrow batches, and workers that can import this package."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
@@ -122,8 +125,6 @@ def text_map(df: DataFrame, columns: list[str], text: str, schema: str, kernel:
     kernel(batch, bytes, offsets) gets at most CHUNK_BYTES of text with the
     batch's rows and returns a RecordBatch or a dict of columns.
     """
-    out = pa.schema([])
-
     def run(batches):
         for batch in batches:
             data, offs = utf8_view(batch.column(text))
@@ -131,7 +132,6 @@ def text_map(df: DataFrame, columns: list[str], text: str, schema: str, kernel:
                 got = kernel(batch.slice(i, j - i), data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
                 yield got if isinstance(got, pa.RecordBatch) else pa.RecordBatch.from_pydict(got)
 
-    del out
     return df.select(*dict.fromkeys([*columns, text])).mapInArrow(run, schema)
 
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, quality
+from . import bpe, decontaminate, language, quality
 from .common import read_table
 
 #: Where the public vocabulary files are; a parameter of every operator that uses one.
@@ -26,6 +26,13 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.fit_languages(docs.where(~held_out()), f"{TOKENIZERS}/piece_bpe_32k.model")
+    out = language.identified(docs, model, ["doc_id"])
+    return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     field = quality.fit_lines(docs, read_table(spark, sf_dir, "labels").where(~held_out()))
@@ -46,6 +53,7 @@ def op10_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op4_decontaminate": op4_decontaminate,
+    "op6_language": op6_language,
     "op9_quality": op9_quality,
     "op10_bpe_roundtrip": op10_bpe_roundtrip,
 }
