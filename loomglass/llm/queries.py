@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, language, quality
+from . import bpe, decontaminate, language, pii, quality
 from .common import read_table
 
 #: Where the public vocabulary files are; a parameter of every operator that uses one.
@@ -14,6 +14,18 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.spotted(docs, pii.fit_tagger(docs), ["doc_id"])
+
+    def line(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    base = F.filter("pii", lambda s: ~s["by_model"])
+    counts = [F.size(F.filter("pii", lambda s, k=k: ~s["by_model"] & (s["kind"] == k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(line(base).cast("binary"), 256).alias("base_sha256"), line(F.col("pii")).alias("spans"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), ["doc_id"])
     return found.select(
@@ -52,6 +64,7 @@ def op10_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_pii": op3_pii,
     "op4_decontaminate": op4_decontaminate,
     "op6_language": op6_language,
     "op9_quality": op9_quality,
