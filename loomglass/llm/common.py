@@ -7,6 +7,7 @@ executor only costs the tasks it ran.
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -231,3 +232,39 @@ def sequence_hash(words: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
 def ids_of(hashes: np.ndarray) -> np.ndarray:
     """64-bit hashes as the signed longs that Spark has."""
     return hashes.view(np.int64)
+
+
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """Larger Arrow batches for a job over narrow rows, run within the block."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+class Bitmap:
+    """Set of 64-bit keys as a bitmap of fixed size: it may claim a key it lacks, never the reverse."""
+
+    def __init__(self, keys: DataFrame, column: str, bits: int = 23):
+        """Built where the rows are; what comes to the driver is the bitmap's non-zero words, 2^bits / 64 at most."""
+        self.bits = bits
+        slot = F.shiftrightunsigned(column, 64 - bits)
+        words = keys.select((slot / 64).cast("long").alias("word"), F.expr(f"shiftleft(1L, cast(pmod({slot_sql(column, bits)}, 64) as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("v")).toPandas()
+        table = np.zeros(max(1, (1 << bits) // 64), np.int64)
+        table[words["word"].to_numpy(np.int64)] = words["v"].to_numpy(np.int64)
+        self.table = table.view(U64)
+        self.size = len(words)
+
+    def __contains__(self, keys):
+        raise TypeError("use has()")
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        slot = (keys >> U64(64 - self.bits)).astype(np.int64)
+        return (self.table[slot >> 6] >> (slot & 63).astype(U64)) & U64(1) == 1
+
+
+def slot_sql(column: str, bits: int) -> str:
+    return f"shiftrightunsigned({column}, {64 - bits})"

@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, language, pii, quality, warc
+from . import bpe, decontaminate, language, ngram_join, pii, quality, warc
 from .common import read_table
 
 #: Where the public vocabulary files are; a parameter of every operator that uses one.
@@ -50,6 +50,10 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.NgramJoin(read_table(spark, sf_dir, "documents")).components()
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     field = quality.fit_lines(docs, read_table(spark, sf_dir, "labels").where(~held_out()))
@@ -73,6 +77,7 @@ QUERIES = {
     "op3_pii": op3_pii,
     "op4_decontaminate": op4_decontaminate,
     "op6_language": op6_language,
+    "op7_ngram_join": op7_ngram_join,
     "op9_quality": op9_quality,
     "op10_bpe_roundtrip": op10_bpe_roundtrip,
 }
