@@ -26,8 +26,11 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     def line(spans):
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
+    def number(kind):
+        return F.size(F.filter("pii", lambda s: ~s["by_model"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
+
     base = F.filter("pii", lambda s: ~s["by_model"])
-    counts = [F.size(F.filter("pii", lambda s, k=k: ~s["by_model"] & (s["kind"] == k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    counts = [number(k) for k in pii.KINDS]
     return found.select("doc_id", *counts, F.sha2(line(base).cast("binary"), 256).alias("base_sha256"), line(F.col("pii")).alias("spans"))
 
 
