@@ -32,6 +32,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def configure(spark: SparkSession) -> None:
     """Session settings the operators count on: small Arrow batches, and workers that can import this package."""
     ship(spark)
+    # every shared result is a settled table, so no query reads another one's shuffle files
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
@@ -246,25 +248,33 @@ def arrow_rows(spark: SparkSession, rows: int):
 
 
 class Bitmap:
-    """Set of 64-bit keys as a bitmap of fixed size: it may claim a key it lacks, never the reverse."""
-
-    def __init__(self, keys: DataFrame, column: str, bits: int = 23):
-        """Built where the rows are; what comes to the driver is the bitmap's non-zero words, 2^bits / 64 at most."""
-        self.bits = bits
-        slot = F.shiftrightunsigned(column, 64 - bits)
-        words = keys.select((slot / 64).cast("long").alias("word"), F.expr(f"shiftleft(1L, cast(pmod({slot_sql(column, bits)}, 64) as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("v")).toPandas()
+    """Set of keys as a bitmap of fixed size: it may claim a key it lacks, never the reverse."""
+
+    def __init__(self, keys: DataFrame, column: str, bits: int = 23, width: int = 64):
+        """Keys are the lowest `width` bits of a long. It is built where the rows are; what comes to the driver
+        is the bitmap's non-zero words, 2^bits / 64 at most."""
+        self.shift, self.bits = width - bits, bits
+        slot = f"shiftrightunsigned({column}, {self.shift})"
+        rows = keys.select(F.expr(f"shiftright({slot}, 6)").alias("word"), F.expr(f"shiftleft(1L, cast({slot} & 63 as int))").alias("bit"))
+        words = rows.groupBy("word").agg(F.bit_or("bit").alias("v")).toPandas()
         table = np.zeros(max(1, (1 << bits) // 64), np.int64)
         table[words["word"].to_numpy(np.int64)] = words["v"].to_numpy(np.int64)
-        self.table = table.view(U64)
-        self.size = len(words)
-
-    def __contains__(self, keys):
-        raise TypeError("use has()")
+        self.table, self.size = table.view(U64), len(words)
 
     def has(self, keys: np.ndarray) -> np.ndarray:
-        slot = (keys >> U64(64 - self.bits)).astype(np.int64)
+        slot = (keys >> U64(self.shift)).astype(np.int64)
         return (self.table[slot >> 6] >> (slot & 63).astype(U64)) & U64(1) == 1
 
 
-def slot_sql(column: str, bits: int) -> str:
-    return f"shiftrightunsigned({column}, {64 - bits})"
+#: Bits of a sort key that number the documents of a chunk; the rest is a token's.
+DOC_BITS = 12
+
+
+def distinct_tokens(doc: np.ndarray, h: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens, bounds): each document's distinct hashes, cut to their upper 64 - DOC_BITS bits, sorted."""
+    if n_docs > 1 << DOC_BITS:
+        raise ValueError("too many rows in a batch")
+    key = np.sort(doc.astype(U64) << U64(64 - DOC_BITS) | h >> U64(DOC_BITS))
+    if len(key):
+        key = key[np.concatenate(([True], key[1:] != key[:-1]))]
+    return key & U64((1 << (64 - DOC_BITS)) - 1), np.searchsorted(key >> U64(64 - DOC_BITS), np.arange(n_docs + 1, dtype=U64))

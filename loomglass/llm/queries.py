@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, embedding_dedup, language, ngram_join, pii, quality, warc
+from . import bpe, decontaminate, embedding_dedup, language, ngram_join, pii, quality, substring_dedup, warc
 from .common import read_table
 
 #: Where the public vocabulary files are; a parameter of every operator that uses one.
@@ -61,6 +61,10 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.NgramJoin(read_table(spark, sf_dir, "documents")).components()
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.Repeats(read_table(spark, sf_dir, "documents")).documents()
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     field = quality.fit_lines(docs, read_table(spark, sf_dir, "labels").where(~held_out()))
@@ -86,6 +90,7 @@ QUERIES = {
     "op4_decontaminate": op4_decontaminate,
     "op6_language": op6_language,
     "op7_ngram_join": op7_ngram_join,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_quality": op9_quality,
     "op10_bpe_roundtrip": op10_bpe_roundtrip,
 }
