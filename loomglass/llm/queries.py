@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, embedding_dedup, language, ngram_join, pii, quality, substring_dedup, warc
+from . import bpe, decontaminate, embedding_dedup, language, ngram_join, pii, quality, sharding, substring_dedup, warc
 from .common import read_table
 
 #: Where the public vocabulary files are; a parameter of every operator that uses one.
@@ -14,6 +14,11 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def contaminated():
+    """Benchmark words make up a twentieth of the document's."""
+    return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
+
+
 def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.NeighbourDescent(read_table(spark, sf_dir, "embeddings")).links()
 
@@ -46,10 +51,17 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_hit",
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+        contaminated().alias("contaminated"),
     )
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    rows = sharding.compacted_store(docs).rows()
+    text = F.col("text").cast("binary")
+    return rows.select("doc_id", "lang", "source", F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("text_sha256"))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language.fit_languages(docs.where(~held_out()), f"{TOKENIZERS}/piece_bpe_32k.model")
@@ -88,6 +100,7 @@ QUERIES = {
     "op2_warc": op2_warc,
     "op3_pii": op3_pii,
     "op4_decontaminate": op4_decontaminate,
+    "op5_sharding": op5_sharding,
     "op6_language": op6_language,
     "op7_ngram_join": op7_ngram_join,
     "op8_substring_dedup": op8_substring_dedup,
@@ -115,4 +128,7 @@ SQL: dict[str, str] = {
                CASE WHEN head IS NOT NULL AND page_id IS DISTINCT FROM head THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN page_id IS DISTINCT FROM head THEN head END AS refers_to
         FROM f""",
+    "op5_sharding": """
+        SELECT doc_id, lang, source, CAST(coalesce(strlen(text), 0) AS BIGINT) AS n_bytes, sha256(encode(text)) AS text_sha256
+        FROM documents""",
 }
