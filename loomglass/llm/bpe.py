@@ -36,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
+from .carry import carried
 from .common import configure
 
 class MergeAutomaton:
@@ -200,21 +201,16 @@ def encode_decode(df: DataFrame, path: str, text: str = "text", keep: list[str]
     """Adds ids (binary, little-endian unsigned 32-bit) and decoded (the text of those ids) to the kept columns."""
     configure(df.sparkSession)
     keep = df.columns if keep is None else keep
-    names = ["ids", "decoded"]
-    clash = [c for c in keep if c in names]
-    if clash:
-        raise ValueError(f"columns {clash} would be overwritten")
-    base = df.select(*keep, F.col(text).alias("__text"))
-    schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema if f.name != "__text"]
+    base, name, fields = carried(df, keep, text, ["ids", "decoded"])
 
     def run(batches):
         t = tokenizer(path)
         for batch in batches:
-            rest = [batch.column(i) for i, n in enumerate(batch.schema.names) if n != "__text"]
-            got = [t.encode(x.as_py()) for x in batch.column("__text")]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array([a for a, _ in got], pa.binary()), pa.array([b for _, b in got], pa.string())], [*(n for n in batch.schema.names if n != "__text"), *names])
+            got = [t.encode(x.as_py()) for x in batch.column(name)]
+            columns = [*(batch.column(c) for c in keep), pa.array([a for a, _ in got], pa.binary()), pa.array([b for _, b in got], pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, [*keep, "ids", "decoded"])
 
-    return base.mapInArrow(run, ", ".join([*schema, "ids binary", "decoded string"]))
+    return base.mapInArrow(run, f"{fields}ids binary, decoded string")
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .carry import carried
 from .common import BY_ALNUM, Words, configure, sequence_hash, settled, spans_of, text_map, utf8_view
 
 WINDOW, SHINGLE = 13, 5
@@ -155,7 +156,8 @@ def contamination(
     """keep, n_words, n_hit (words inside any occurrence), items (sorted ids) and spans (word ranges, end exclusive)."""
     spark = docs.sparkSession
     configure(spark)
-    state = docs.select(*keep, F.col(text).alias("__text"), F.lit(None).cast("binary").alias("__spans"), F.lit(None).cast("array<string>").alias("__items"))
+    base, name, _ = carried(docs, keep, text, ["n_words", "n_hit", "items", "spans"])
+    state = base.select("*", F.lit(None).cast("binary").alias("__spans"), F.lit(None).cast("array<string>").alias("__items"))
     indexes = [(ids, texts) for ids, texts, _ in _blocks(benchmark, item, item_text, block_bytes)] or [([], [])]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in state.schema)
     for k, (ids, texts) in enumerate(indexes):
@@ -164,7 +166,7 @@ def contamination(
         index = Index(ids, texts, window, shingle)
         index.choose(_frequencies(docs, text, index) if index.sizes else {})
         shared = spark.sparkContext.broadcast(index)
-        state = state.mapInArrow(_pass(shared), f"{fields}, n_words long, n_hit long")
+        state = state.mapInArrow(_pass(shared, name), f"{fields}, n_words long, n_hit long")
     spans = F.transform(
         F.sequence(F.lit(0), (F.octet_length("__spans") / 16).cast("int") - 1),
         lambda i: F.struct(*(F.conv(F.hex(F.substring(F.col("__spans"), i * 16 + 1 + o, F.lit(8))), 16, 10).cast("long").alias(n) for o, n in ((0, "start"), (8, "end")))),
@@ -172,12 +174,12 @@ def contamination(
     return state.select(*keep, "n_words", "n_hit", F.col("__items").alias("items"), F.when(F.octet_length("__spans") > 0, spans).otherwise(F.array().cast("array<struct<start:bigint,end:bigint>>")).alias("spans"))
 
 
-def _pass(shared):
+def _pass(shared, name: str):
     def run(batches):
         index: Index = shared.value
         for batch in batches:
             names = batch.schema.names
-            data, offs = utf8_view(batch.column("__text"))
+            data, offs = utf8_view(batch.column(name))
             for i, j in spans_of(offs):
                 part = batch.slice(i, j - i)
                 w = Words(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], BY_ALNUM)

@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .carry import carried
 from .common import BY_SPACE, LOWER, U64, Words, configure, mixed, text_map
 
 DOCS_PER_LANGUAGE, ROUNDS, LONGEST = 400, 4, 12
@@ -295,12 +296,11 @@ def fit_languages(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str
 def identified(docs: DataFrame, model: UnigramLanguages | None, keep: list[str], text: str = "text") -> DataFrame:
     """keep, lang_pred and score of every whole text."""
     configure(docs.sparkSession)
-    base = docs.select(*keep, F.col(text).alias("__text"))
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in base.schema if f.name != "__text")
+    base, name, fields = carried(docs, keep, text, ["lang_pred", "score"])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # languages times pieces, whatever the corpus
 
     def kernel(batch, data, offs):
-        model, texts = shared.value, batch.column("__text")
+        model, texts = shared.value, batch.column(name)
         letter = np.zeros(len(data) + 1, np.int64)
         np.cumsum((LOWER[data] >= 97) & (LOWER[data] <= 122), out=letter[1:])
         some = letter[offs[1:]] > letter[offs[:-1]]
@@ -312,7 +312,6 @@ def identified(docs: DataFrame, model: UnigramLanguages | None, keep: list[str],
         else:
             best, score = model.predict(data, offs)
         names = [model.languages[b] if ok else "und" for b, ok in zip(best.tolist(), some.tolist())]
-        columns = [batch.column(i) for i, n in enumerate(batch.schema.names) if n != "__text"]
-        return pa.RecordBatch.from_arrays([*columns, pa.array(names, pa.string()), pa.array(np.where(some, score, 0.0))], [*(n for n in batch.schema.names if n != "__text"), "lang_pred", "score"])
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(names, pa.string()), pa.array(np.where(some, score, 0.0))], [*keep, "lang_pred", "score"])
 
-    return text_map(base, base.columns[:-1], "__text", f"{fields}lang_pred string, score double", kernel)
+    return text_map(base, base.columns, name, f"{fields}lang_pred string, score double", kernel)

@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .carry import carried
 from .common import configure
 
 KINDS = ("email", "ip", "card", "phone")
@@ -420,21 +421,19 @@ def spotted(docs: DataFrame, model: SpanTagger | None, keep: list[str], text: st
     With redact there is also clean: the text with every span replaced by its kind in brackets.
     """
     configure(docs.sparkSession)
-    base = docs.select(*keep, F.col(text).alias("__text"))
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in base.schema if f.name != "__text")
+    base, name, fields = carried(docs, keep, text, ["pii", "clean"])
     shape = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("by_model", pa.bool_())]))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few thousand numbers
 
     def run(batches):
         for batch in batches:
-            texts = [x or "" for x in batch.column("__text").to_pylist()]
+            raw = batch.column(name).to_pylist()
+            texts = [x or "" for x in raw]
             spans = all_spans(shared.value, texts)
-            columns = [batch.column(i) for i, n in enumerate(batch.schema.names) if n != "__text"]
-            names = [n for n in batch.schema.names if n != "__text"]
-            columns.append(pa.array([[{"kind": KINDS[k], "start": s, "end": e, "by_model": m} for s, k, e, m in x] for x in spans], shape))
-            names.append("pii")
+            columns = [*(batch.column(c) for c in keep), pa.array([[{"kind": KINDS[k], "start": s, "end": e, "by_model": m} for s, k, e, m in x] for x in spans], shape)]
+            names = [*keep, "pii"]
             if redact:
-                columns.append(pa.array([t if y is None else redacted(t, x) for t, x, y in zip(texts, spans, batch.column("__text").to_pylist())], pa.string()))
+                columns.append(pa.array([y if y is None else redacted(y, x) for x, y in zip(spans, raw)], pa.string()))
                 names.append("clean")
             yield pa.RecordBatch.from_arrays(columns, names)
 

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .carry import carried
 from .common import BY_SPACE, Words, configure, text_map
 
 TRAIN_DOCS = 3000
@@ -202,12 +203,10 @@ def fit_lines(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
 def scored(docs: DataFrame, field: LineField | None, keep: list[str], text: str = "text") -> DataFrame:
     """keep and score, the probability-like quality of every whole text."""
     configure(docs.sparkSession)
-    base = docs.select(*keep, F.col(text).alias("__text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema if f.name != "__text")
+    base, name, fields = carried(docs, keep, text, ["score"])
 
     def kernel(batch, data, offs):
         score = field.score(data, offs) if field else np.full(len(offs) - 1, 0.5)
-        columns = [batch.column(i) for i, n in enumerate(batch.schema.names) if n != "__text"]
-        return pa.RecordBatch.from_arrays([*columns, pa.array(score)], [*(n for n in batch.schema.names if n != "__text"), "score"])
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(score)], [*keep, "score"])
 
-    return text_map(base, base.columns[:-1], "__text", f"{fields}, score double" if fields else "score double", kernel)
+    return text_map(base, base.columns, name, f"{fields}score double", kernel)
