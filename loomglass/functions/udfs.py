@@ -7,7 +7,7 @@ from collections.abc import Callable
 from datetime import datetime
 
 import pandas as pd
-from pyspark.sql import SparkSession
+from pyspark.sql import SparkSession, types as T
 from pyspark.sql.functions import pandas_udf, udtf
 
 from ..kernels import article, dates, dom, feeds, fetching, listing, news, robots, sanitize, text, url
@@ -20,6 +20,10 @@ def _plain(v):
     return None if v is None or v is pd.NaT or (isinstance(v, float) and v != v) else v
 
 
+#: Types as objects: a type's name could only be read with a session at hand.
+TYPES = {"string": T.StringType(), "int": T.IntegerType(), "boolean": T.BooleanType(), "timestamp": T.TimestampType()}
+
+
 def each(fn: Callable, kind: str, arity: int = 1):
     """A pandas UDF of a kernel over one to three string columns."""
 
@@ -36,15 +40,15 @@ def each(fn: Callable, kind: str, arity: int = 1):
     if arity == 1:
         def one(a: pd.Series) -> pd.Series:
             return over(a)
-        return pandas_udf(one, kind)
+        return pandas_udf(one, TYPES[kind])
     if arity == 2:
         def two(a: pd.Series, b: pd.Series) -> pd.Series:
             return over(a, b)
-        return pandas_udf(two, kind)
+        return pandas_udf(two, TYPES[kind])
 
     def three(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
         return over(a, b, c)
-    return pandas_udf(three, kind)
+    return pandas_udf(three, TYPES[kind])
 
 
 def stamps(values: list[datetime | None]) -> pd.Series:

@@ -23,7 +23,8 @@ def feed_health(builds: DataFrame, key: str = "feed_key", recent: int = RECENT)
         F.count_if(F.col("oks") == 0).alias("failure_streak"), F.count("*").alias("total_recent"), F.max(F.when(F.col("ok"), F.col("built_at"))).alias("last_success")
     )
     good = builds.where("ok").select(key, "id", "built_at").withColumn("rn", F.row_number().over(newest)).where(F.col("rn") <= recent)
-    gap = F.unix_seconds(F.lag("built_at").over(newest)) - F.unix_seconds("built_at")
+    at = F.unix_seconds(F.col("built_at").cast("timestamp"))
+    gap = F.lag(at).over(newest) - at
     gaps = good.withColumn("gap", gap).where("gap is not null").groupBy(key).agg((F.sum("gap") * 1000).alias("s"), F.count("*").alias("c")).select(key, F.expr("s div c").alias("avg_gap_ms"))
     return streaks.join(gaps, key, "left").withColumn("avg_gap_ms", F.coalesce("avg_gap_ms", F.lit(0)))
 

@@ -57,6 +57,6 @@ def with_robots(pages: DataFrame, rules: DataFrame, url: str = "url", key: str =
     ends = F.col("pattern").endswith("$")
     regex = F.regexp_replace(F.regexp_replace(quoted, r"\\\*", ".*?"), r"\\\$$", "")
     shaped = rules.where("pattern != ''").withColumn("regex", F.concat(F.lit("^"), regex, F.when(ends, "$").otherwise("")))
-    hits = asked.join(small(shaped), "host").withColumn("m", F.regexp_extract("path", F.concat(F.lit("("), F.col("regex"), F.lit(")")), 1)).where(F.expr("path rlike regex"))
+    hits = asked.join(small(shaped), "host").withColumn("m", F.expr("regexp_extract(path, concat('(', regex, ')'), 1)")).where(F.expr("path rlike regex"))
     best = hits.groupBy(key).agg(F.max_by("allow", F.struct(F.char_length("m"), ~F.col("allow"))).alias("allowed"))
     return pages.join(best, key, "left").withColumn("allowed", F.coalesce("allowed", F.lit(True)))
