@@ -90,8 +90,8 @@ def page_items(pages: DataFrame, options: listing.ListOptions, url_col: str = "u
 def exploded(df: DataFrame, source_ord: int | str = 0) -> DataFrame:
     """Rows of an items column, numbered in their order."""
     order = F.col(source_ord) if isinstance(source_ord, str) else F.lit(source_ord)
-    rest = [c for c in df.columns if c != "items"]
-    return df.select(*rest, F.posexplode("items").alias("pos", "__item")).select(*rest, order.cast("int").alias("source_ord"), "pos", "__item.*")
+    rest = [c for c in df.columns if c not in ("items", "source_ord", "pos")]
+    return df.select(*rest, order.cast("int").alias("source_ord"), F.posexplode("items").alias("pos", "__item")).select(*rest, "source_ord", "pos", "__item.*")
 
 
 def feed_documents(responses: DataFrame, url_col: str = "url", body: str = "body", keep: list[str] | None = None) -> DataFrame:
