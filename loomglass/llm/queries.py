@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import bpe, decontaminate, embedding_dedup, language, ngram_join, pii, quality, sharding, substring_dedup, warc
 from .common import read_table
+from .sql import SQL
 
 #: Where the public vocabulary files are; a parameter of every operator that uses one.
 TOKENIZERS = "/opt/tokenizers"
@@ -95,6 +96,8 @@ def op10_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+__all__ = ["QUERIES", "SQL"]
+
 QUERIES = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_warc": op2_warc,
@@ -107,28 +110,3 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_bpe_roundtrip": op10_bpe_roundtrip,
 }
-SQL: dict[str, str] = {
-    "op1_embedding_dedup": """
-        WITH RECURSIVE v AS (
-            SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
-            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
-              AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
-        l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
-              WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
-        r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
-        c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a),
-        n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
-        SELECT e.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, c.component_id, e.vec_id = c.component_id AS kept
-        FROM embeddings e JOIN c ON c.a = e.vec_id LEFT JOIN n ON n.a = e.vec_id""",
-    "op2_warc": """
-        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
-        d AS (SELECT page_id, CAST(octet_length(b) AS BIGINT) AS payload_bytes, sha256(b) AS payload_digest FROM p),
-        f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest, payload_bytes) END AS head FROM d)
-        SELECT page_id, payload_bytes, payload_digest,
-               CASE WHEN head IS NOT NULL AND page_id IS DISTINCT FROM head THEN 'revisit' ELSE 'response' END AS record_type,
-               CASE WHEN page_id IS DISTINCT FROM head THEN head END AS refers_to
-        FROM f""",
-    "op5_sharding": """
-        SELECT doc_id, lang, source, CAST(coalesce(strlen(text), 0) AS BIGINT) AS n_bytes, sha256(encode(text)) AS text_sha256
-        FROM documents""",
-}
