@@ -23,6 +23,7 @@ from ..shipping import ship
 BATCH_ROWS = 256
 #: Text bytes that a kernel handles at once; a longer document is a chunk of its own.
 CHUNK_BYTES = 1 << 20
+FILES_PER_CORE = 4
 U64 = np.uint64
 
 
@@ -52,9 +53,13 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def settled(df: DataFrame, name: str) -> DataFrame:
-    """Write a result to the shared folder and read it back: lineage is cut and a lost executor loses nothing."""
+    """Write a result to the shared folder and read it back: lineage is cut and a lost executor loses nothing.
+
+    The last stage's partitions are gathered to FILES_PER_CORE for each of the cluster's cores, so that a small result
+    of many partitions is not as many files.
+    """
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.coalesce(FILES_PER_CORE * df.sparkSession.sparkContext.defaultParallelism).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -3,46 +3,80 @@
 A document's set holds the hashes of its distinct n-grams; documents with one
 set are one node from the start. For a threshold t, two sets of that
 similarity share a token among the first n - ceil(t n) + 1 of each under any
-global order. Three orders are used, each a different random permutation with
-frequent tokens last:
+global order. Three orders are used, each a random permutation of its own:
 
-1. Nodes that share a prefix token under the first order meet in that token's
-   bucket, subject to the length bound; buckets with the same members count
-   once. This gives the candidate pairs.
+1. Under the first order, rare tokens come before frequent ones. Nodes that
+   share a prefix token meet in that token's bucket, subject to the length
+   bound; buckets with the same members count once. This gives the candidates.
 2. Of those, pairs must share prefix tokens under the second and the third
    order as well: the filters are intersected.
 3. Survivors are verified on the whole sets.
 
-Which tokens are frequent is measured on the prefixes themselves (a token of
-more than BUCKET nodes or documents is), in HOT_ROUNDS passes, and kept as a
-bitmap of fixed size. Any bitmap gives a global order, so it touches speed only.
+How frequent tokens are is counted over all documents, for the tokens that the
+permutation puts first (a SHARE of all, from which prefixes are taken while
+they last), then once more for the tokens that prefixes came to hold. It is
+kept in bitmaps of fixed size. Any bitmap gives a global order, so they touch
+speed only.
 
 Only connectivity is asked for, so a pair whose nodes are known to be connected
-is not verified. In a bucket of more than BUCKET nodes, a few pivots at a time
-are compared with all members that are not connected to them; a bucket is
-settled when the members that have not been pivots are connected. After
-PIVOT_ROUNDS all pairs left over are enumerated, so no link is lost.
+is not verified: each node's first candidate goes first.
+
+A bucket of more than BUCKET nodes is not enumerated. Its nodes are rewritten
+relative to a reference set, as what they add to it and what they lack of it;
+the reference is what at least two of three central members hold. Let d be the
+size of such a difference. Nodes x and y are similar if their differences
+differ in at most D = (|x| + |y|) (1 - t) / (1 + t) elements, so
+
+* if d_x + d_y <= D they are similar, and both are, by the same sum, similar to
+  the node of the other's size with the smallest d, as these two nodes are to
+  one another: links to such nodes alone connect them;
+* else they share at least (d_x + d_y - D) / 2 elements of their differences,
+  and prefix filters apply again: D/2 + 1 elements of the smaller difference
+  against D + 1 of the larger one, less where the sizes of both ask for more
+  overlap, added elements before lacking ones. Among copies with edits, edits
+  are rare where the text they share is not.
+
+Buckets that come out large again are rewritten for another reference, REBASES
+times; what is left then is enumerated, so no link is lost.
 
 Results: null and empty texts have an empty set and link with nothing; repeated
 rows share their component; rows with a null id get a null component_id unless
-linked to others, and never name one.
+linked to others, and never name one. Hash collisions (52 bits a token, 64 bits
+a set) are taken as equality.
 """
 
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import BY_SPACE, U64, Bitmap, Words, arrow_rows, components, configure, dropped, ids_of, mixed, sequence_hash, settled, text_map
+from .common import BY_SPACE, DOC_BITS, U64, Bitmap, Words, arrow_rows, components, configure, distinct_tokens, dropped, ids_of, mixed, release, sequence_hash, settled, text_map
 
 N, NUMERATOR, DENOMINATOR = 3, 90, 100
-BUCKET, HOT_ROUNDS, PIVOTS, PIVOT_ROUNDS = 16, 2, 4, 6
+BUCKET, SHARE, PER_ROW, REBASES = 16, 0.2, 64, 4
 SEEDS = (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0x9B05688C2B3E6C1F)
+WIDTH = 64 - DOC_BITS
+
+
+class Rarity:
+    """Classes of tokens under the first order: 0 first and met once, 1 first and met seldom, 2 not counted, 3 frequent."""
+
+    def __init__(self, twice: Bitmap | None = None, often: Bitmap | None = None):
+        self.twice, self.often = twice, often
+
+    def classes(self, token: np.ndarray, key: np.ndarray) -> np.ndarray:
+        out = np.full(len(token), 2, U64)
+        if self.twice is None:
+            return out
+        first = np.flatnonzero(key < U64(int(SHARE * 2**64)))
+        out[first] = self.twice.has(token[first])
+        out[self.often.has(token)] = 3
+        return out
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, n: int = N) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted distinct hashes of all documents one after another, bounds of each document's)."""
+    """(sorted distinct tokens of all documents one after another, bounds of each document's)."""
     w = Words(data, offs, BY_SPACE)
     h, at = w.shingles(n)
     doc = w.doc[at]
@@ -52,44 +86,36 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, n: int = N) -> tuple[np.nda
         if len(few):
             h = np.concatenate([h, sequence_hash(w.hash, w.first[few], k)])
             doc = np.concatenate([doc, few])
-    order = np.lexsort((h, doc))
-    h, doc = h[order], doc[order]
-    keep = np.ones(len(h), bool)
-    keep[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-    h, doc = h[keep], doc[keep]
-    return h, np.searchsorted(doc, np.arange(len(offs)))
+    return distinct_tokens(doc, h, len(offs) - 1)
 
 
 def prefix_length(n: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.where(n > 0, n + (-num * n) // den + 1, 0)  # n - ceil(t n) + 1
 
 
-def prefixes(h: np.ndarray, bound: np.ndarray, seed: int, hot: Bitmap | None, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """(prefix tokens of all documents, bounds), rarest first under one order."""
+def prefixes(token: np.ndarray, bound: np.ndarray, seed: int, rarity: Rarity | None, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """(prefix tokens of all documents, bounds) under one order."""
     n = np.diff(bound)
     doc = np.repeat(np.arange(len(n)), n)
-    key = mixed(h ^ U64(seed)) >> U64(1)
-    if hot is not None and hot.size:
-        key |= hot.has(h).astype(U64) << U64(63)
-    order = np.lexsort((key, doc))
-    rank = np.arange(len(h)) - np.repeat(bound[:-1], n)
+    key = mixed(token ^ U64(seed))
+    rank = rarity.classes(token, key) if rarity else np.zeros(len(token), U64)
+    order = np.argsort(doc.astype(U64) << U64(WIDTH) | rank << U64(WIDTH - 2) | key >> U64(DOC_BITS + 2))
     take = prefix_length(n, num, den)
-    keep = rank < np.repeat(take, n)
-    return h[order][keep], np.concatenate(([0], np.cumsum(take)))
+    keep = np.arange(len(token)) - np.repeat(bound[:-1], n) < np.repeat(take, n)
+    return token[order[keep]], np.concatenate(([0], np.cumsum(take)))
 
 
-def _signatures(h: np.ndarray, bound: np.ndarray) -> np.ndarray:
+def _signatures(token: np.ndarray, bound: np.ndarray) -> np.ndarray:
     """One 64-bit name for each set; 0 for the empty one."""
-    total = np.concatenate((np.zeros(1, U64), np.cumsum(mixed(h ^ U64(0xA54FF53A5F1D36F1)))))
-    other = np.concatenate((np.zeros(1, U64), np.cumsum(mixed(h ^ U64(0x510E527FADE682D1)))))
+    one, two = (np.concatenate((np.zeros(1, U64), np.cumsum(mixed(token ^ U64(s))))) for s in (0xA54FF53A5F1D36F1, 0x510E527FADE682D1))
     n = np.diff(bound)
-    name = mixed(total[bound[1:]] - total[bound[:-1]] + mixed(other[bound[1:]] - other[bound[:-1]] + n.astype(U64)))
+    name = mixed(one[bound[1:]] - one[bound[:-1]] + mixed(two[bound[1:]] - two[bound[:-1]] + n.astype(U64)))
     return np.where(n > 0, np.where(name == 0, U64(1), name), U64(0))
 
 
-def _cut(h: np.ndarray, bound: np.ndarray) -> pa.Array:
-    raw = h.tobytes()
-    return pa.array([raw[8 * a : 8 * b] for a, b in zip(bound[:-1].tolist(), bound[1:].tolist())], pa.binary())
+def _cut(values: np.ndarray, bound: np.ndarray) -> pa.Array:
+    raw, size = values.tobytes(), values.itemsize
+    return pa.array([raw[size * a : size * b] for a, b in zip(bound[:-1].tolist(), bound[1:].tolist())], pa.binary())
 
 
 class NgramJoin:
@@ -102,40 +128,53 @@ class NgramJoin:
         self.id_type = dict(self.docs.dtypes)["id"]
         self.n, self.num, self.den, self.bucket = n, num, den, bucket
 
-    def frequent(self) -> Bitmap | None:
-        """Tokens that many documents' prefixes hold, found by rounds, each on the order the last one gave."""
+    def rarity(self):
+        """Counts of tokens over all documents, as the bitmaps of an order; broadcast, as their size is fixed."""
         n, num, den = self.n, self.num, self.den
-        hot, found = None, None
-        for _ in range(HOT_ROUNDS):
-
-            def kernel(batch, data, offs, hot=hot):
-                h, bound = shingle_sets(data, offs, n)
-                _, first = np.unique(_signatures(h, bound), return_index=True)  # copies within the chunk count once
-                tokens, cut = prefixes(h, bound, SEEDS[0], hot, num, den)
-                mask = np.zeros(len(offs) - 1, bool)
-                mask[first] = True
-                token, count = np.unique(tokens[np.repeat(mask, np.diff(cut))], return_counts=True)
+
+        def counted(chosen) -> DataFrame:
+            def kernel(batch, data, offs):
+                token, bound = shingle_sets(data, offs, n)
+                _, first = np.unique(_signatures(token, bound), return_index=True)  # copies within the chunk count once
+                once = np.zeros(len(offs) - 1, bool)
+                once[first] = True
+                token, count = np.unique(chosen(token[np.repeat(once, np.diff(bound))], bound, once, token), return_counts=True)
                 return {"token": ids_of(token), "count": count.astype(np.int64)}
 
-            counted = text_map(self.docs, [], "text", "token long, count long", kernel).groupBy("token").agg(F.sum("count").alias("m")).where(F.col("m") > self.bucket)
-            more = settled(counted.select("token"), "hot")
-            found = more if found is None else found.union(more)
-            hot = Bitmap(found, "token")
-        return hot
+            rows = text_map(self.docs, [], "text", "token long, count long", kernel)
+            return rows.groupBy("token").agg(F.sum("count").alias("m")).where("m > 1")
 
-    def nodes(self, hot: Bitmap | None) -> tuple[DataFrame, DataFrame]:
+        def early(own, bound, once, token):
+            return own[mixed(own ^ U64(SEEDS[0])) < U64(int(SHARE * 2**64))]
+
+        first = settled(counted(early), "counts")
+        order = Rarity(Bitmap(first, "token", 24, WIDTH), Bitmap(first.where(F.col("m") > self.bucket), "token", 22, WIDTH))
+        shared = self.spark.sparkContext.broadcast(order)  # of fixed size
+
+        def held(own, bound, once, token):
+            cut = prefixes(token, bound, SEEDS[0], shared.value, num, den)
+            return cut[0][np.repeat(once, np.diff(cut[1]))]
+
+        again = settled(counted(held).where(F.col("m") > self.bucket), "counts")
+        out = Rarity(order.twice, Bitmap(first.where(F.col("m") > self.bucket).select("token").union(again.select("token")), "token", 22, WIDTH))
+        dropped(self.spark, first, again)
+        shared.destroy()
+        release(self.spark)
+        return self.spark.sparkContext.broadcast(out)
+
+    def nodes(self, rarity) -> tuple[DataFrame, DataFrame]:
         """(id, n, node of every row; node, n, prefix and whether each of its tokens is frequent, of every distinct set)."""
         n, num, den = self.n, self.num, self.den
 
         def kernel(batch, data, offs):
             h, bound = shingle_sets(data, offs, n)
-            tokens, cut = prefixes(h, bound, SEEDS[0], hot, num, den)
+            tokens, cut = prefixes(h, bound, SEEDS[0], rarity.value, num, den)
             return {"id": batch.column("id"), "n": np.diff(bound).astype(np.int64), "node": ids_of(_signatures(h, bound)), "prefix": _cut(tokens, cut)}
 
         rows = settled(text_map(self.docs, ["id"], "text", f"id {self.id_type}, n long, node long, prefix binary", kernel), "sets")
         return rows, rows.where("node != 0").groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
 
-    def candidates(self, nodes: DataFrame, hot: Bitmap | None) -> tuple[DataFrame, DataFrame]:
+    def candidates(self, nodes: DataFrame, rarity) -> tuple[DataFrame, DataFrame]:
         """(a, b) pairs of small buckets; (token, node, n) rows of large ones."""
         bucket, num, den = self.bucket, self.num, self.den
 
@@ -144,7 +183,7 @@ class NgramJoin:
                 prefix = b.column("prefix").to_pylist()
                 size = np.array([len(p) // 8 for p in prefix], np.int64)
                 token = np.frombuffer(b"".join(prefix), U64)
-                frequent = hot.has(token) if hot is not None and hot.size else np.zeros(len(token), bool)
+                frequent = rarity.value.often.has(token)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids_of(token)), pa.array(np.repeat(b.column("node").to_numpy(), size)), pa.array(np.repeat(b.column("n").to_numpy(), size)), pa.array(frequent)], ["token", "node", "n", "hot"]
                 )
@@ -199,36 +238,48 @@ class NgramJoin:
             F.get("nodes", j).alias("a"), F.get("nodes", i).alias("b"), F.least(F.get("sizes", i), F.get("sizes", j)).alias("x"), F.greatest(F.get("sizes", i), F.get("sizes", j)).alias("y"))))))
         pairs = small.select(pair.alias("p")).select("p.*").where(f"x * {den} >= y * {num}").select("a", "b").distinct()
         large = met.where("nodes is null").select("token", "node", "n").union(rows.where("hot").select("token", "node", "n"))
-        # buckets with the same members count once; those of one node are none
+        out = settled(pairs, "pairs"), settled(self.once(large), "large")
+        dropped(self.spark, rows, met)
+        release(self.spark)
+        return out
+
+    @staticmethod
+    def once(large: DataFrame) -> DataFrame:
+        """Buckets of several nodes, one of those with the same members."""
         seen = large.groupBy("token").agg(F.count("*").alias("m"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x")).where("m > 1")
-        one = seen.groupBy("m", "s", "x").agg(F.min("token").alias("token")).select("token")
-        return settled(pairs, "pairs"), settled(large.join(one, "token"), "large")
+        return large.join(seen.groupBy("m", "s", "x").agg(F.min("token").alias("token")).select("token"), "token")
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """Those pairs (a, b) that pass the other orders' filters and then the threshold on whole sets."""
+    def sets(self, pairs: DataFrame, large: DataFrame) -> DataFrame:
+        """(node, prefixes under the second and third order, whole set) of every node that is in a candidate pair or large bucket."""
         n, num, den = self.n, self.num, self.den
-        wanted = Bitmap(pairs.select(F.explode(F.array("a", "b")).alias("node")), "node", 24)
-        if not wanted.size:
-            return pairs
+        asked = settled(pairs.select(F.explode(F.array("a", "b")).alias("node")).union(large.select("node")).distinct(), "asked")
+        wanted = Bitmap(asked, "node", 22)
 
         def kernel(batch, data, offs):
-            h, bound = shingle_sets(data, offs, n)
-            name = _signatures(h, bound)
+            token, bound = shingle_sets(data, offs, n)
+            name = _signatures(token, bound)
             keep = np.flatnonzero(wanted.has(name) & (name != 0))
             keep = keep[np.unique(name[keep], return_index=True)[1]]
-            two, cut2 = prefixes(h, bound, SEEDS[1], None, num, den)
-            three, cut3 = prefixes(h, bound, SEEDS[2], None, num, den)
-            pick = pa.array(keep)
-            return {"node": ids_of(name[keep]), "second": _cut(two, cut2).take(pick), "third": _cut(three, cut3).take(pick), "whole": _cut(h, bound).take(pick)}
+            two, cut2 = prefixes(token, bound, SEEDS[1], None, num, den)
+            three, cut3 = prefixes(token, bound, SEEDS[2], None, num, den)
+            # equal tokens have equal lower halves, so filters on those lose nothing
+            columns = {"second": _cut(two.astype(np.uint32), cut2), "third": _cut(three.astype(np.uint32), cut3), "whole": _cut(token, bound)}
+            return {"node": ids_of(name[keep])} | {k: v.take(pa.array(keep)) for k, v in columns.items()}
 
         raw = text_map(self.docs, [], "text", "node long, second binary, third binary, whole binary", kernel)
-        asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        sets = settled(raw.join(asked, "node", "left_semi").dropDuplicates(["node"]), "wanted")
+        out = settled(raw.join(asked, "node", "left_semi").dropDuplicates(["node"]), "sets")
+        dropped(self.spark, asked)
+        release(self.spark)
+        return out
+
+    def verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """Those pairs (a, b) that pass the other orders' filters and then the threshold on whole sets."""
+        num, den = self.num, self.den
 
         def meets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 ok = [
-                    all(len(np.intersect1d(np.frombuffer(x, U64), np.frombuffer(y, U64), True)) for x, y in ((p, q), (r, s)))
+                    all(len(np.intersect1d(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32))) for x, y in ((p, q), (r, s)))
                     for p, q, r, s in zip(*(b.column(c).to_pylist() for c in ("second_a", "second_b", "third_a", "third_b")))
                 ]
                 yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
@@ -249,76 +300,106 @@ class NgramJoin:
 
         left = settled(joined(pairs, "second", "third").mapInArrow(meets, "a long, b long"), "filtered")
         out = settled(joined(left, "whole").mapInArrow(same, "a long, b long"), "links")
-        dropped(self.spark, sets, left)
+        dropped(self.spark, left)
         return out
 
-    def links(self, pairs: DataFrame, large: DataFrame) -> DataFrame:
-        """Verified links enough to connect all that is linked."""
-        found: DataFrame | None = None
-
-        def labels(found: DataFrame) -> DataFrame:
-            return settled(components(found), "labels")
-
-        def add(more: DataFrame) -> None:
-            nonlocal found
-            found = more if found is None else settled(found.union(more), "links")
+    def relative(self, large: DataFrame, sets: DataFrame, rarity) -> tuple[DataFrame | None, DataFrame | None]:
+        """(links, candidate pairs) of large buckets."""
+        num, den = self.num, self.den
 
-        # first one pair for each node, then those whose nodes are still apart
-        rest = pairs
-        for k in range(3):
-            if rest.isEmpty():
+        def references(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                out = []
+                for members in b.column("members").to_pylist():
+                    token, n = np.unique(np.concatenate([np.frombuffer(m, U64) for m in members]), return_counts=True)
+                    out.append(token[n >= min(2, len(members))].tobytes())
+                yield pa.RecordBatch.from_arrays([b.column("pivot"), pa.array(out, pa.binary())], ["pivot", "base"])
+
+        def differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Rows (pivot, element, node, n, d, role, place): role 1 to be met by a larger difference, 2 by a smaller one, 0 for the node itself."""
+            for b in batches:
+                out: list[list] = [[] for _ in range(7)]
+                for pivot, node, p, x in zip(*(b.column(c).to_pylist() for c in ("pivot", "node", "base", "whole"))):
+                    p, x = np.frombuffer(p, U64), np.frombuffer(x, U64)
+                    more, less = np.setdiff1d(x, p, True), np.setdiff1d(p, x, True)
+                    n, d = len(x), len(more) + len(less)
+                    most = (n + n * den // num) * (den - num) // (den + num)
+                    key = mixed(more ^ U64(SEEDS[0]))
+                    more = more[np.lexsort((key, rarity.value.classes(more, key)))]
+                    less = less[np.argsort(mixed(less ^ U64(SEEDS[0])))]
+                    order = ids_of(np.concatenate([more, less]))
+                    for part, role in ((order[: most // 2 + 1], 1), (order[: most + 1], 2), (np.zeros(int(d <= most), np.int64), 0)):
+                        for k, v in enumerate((pivot, part, node, n, d, role, np.arange(len(part)))):
+                            out[k].append(v if isinstance(v, np.ndarray) else np.full(len(part), v))
+                if out[0]:
+                    kinds = [pa.int64()] * 5 + [pa.int32()] * 2
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(out, kinds)], ["pivot", "element", "node", "n", "d", "role", "place"])
+
+        links, pairs = None, None
+        for k in range(REBASES + 1):
+            if large.isEmpty():
                 break
-            some = rest.groupBy(F.col("b")).agg(F.min("a").alias("a")).select("a", "b") if k < 2 else rest
-            some = settled(some, "some")
-            add(self.verified(some))
-            if k < 2:
-                rest = settled(apart(rest.join(some, ["a", "b"], "left_anti"), labels(found)), "rest")
-        if large.isEmpty():
-            return found if found is not None else pairs
-        done: DataFrame | None = None
-        for k in range(PIVOT_ROUNDS + 1):
-            now = large
-            if found is not None:
-                now = large.join(labels(found).withColumnRenamed("component", "label"), "node", "left").select("token", "node", "n", F.coalesce("label", "node").alias("label"))
-            else:
-                now = large.select("token", "node", "n", F.col("node").alias("label"))
-            if done is not None:
-                now = now.join(done.withColumn("done", F.lit(True)), ["token", "node"], "left").withColumn("done", F.coalesce("done", F.lit(False)))
-            else:
-                now = now.withColumn("done", F.lit(False))
-            open_tokens = now.where("not done").groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("token")
-            now = settled(now.join(open_tokens, "token"), "open")
-            if now.isEmpty():
+            if k == REBASES:  # enumerate what is left
+                a, b = (large.select("token", F.col("node").alias(x), F.col("n").alias("n" + x)) for x in "ab")
+                found = a.join(b, "token").where(f"a < b and least(na, nb) * {den} >= greatest(na, nb) * {num}").select("a", "b")
+                pairs = settled(found if pairs is None else pairs.union(found), "relative")
                 break
-            bound = f"least(n, pn) * {self.den} >= greatest(n, pn) * {self.num} and label != pl and node != pivot"
-            if k == PIVOT_ROUNDS:  # all that is left
-                left = now.where("not done").select("token", F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("label").alias("pl"))
-                met = now.where("not done").join(left, "token").where(bound + " and node < pivot")
-            else:
-                size = now.groupBy("token", "label").agg(F.count("*").alias("c"))
-                ranked = now.where("not done").join(size, ["token", "label"])
-                # out of the smallest groups of connected members
-                picks = [F.min(F.struct("c", F.xxhash64("node", F.lit(100 * k + i)).alias("r"), "node", "n", "label")).alias(f"p{i}") for i in range(PIVOTS)]
-                chosen = ranked.groupBy("token").agg(*picks).select("token", F.explode(F.array_distinct(F.array(*(F.struct(F.col(f"p{i}.node").alias("pivot"), F.col(f"p{i}.n").alias("pn"), F.col(f"p{i}.label").alias("pl")) for i in range(PIVOTS))))).alias("p")).select("token", "p.*")
-                chosen = settled(chosen, "pivots")
-                met = now.join(chosen, "token").where(bound)
-                used = chosen.select("token", F.col("pivot").alias("node"))
-                done = used if done is None else settled(done.union(used), "done")
-            asked = settled(met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct(), "asked")
-            add(self.verified(asked))
-        return found if found is not None else pairs
+            # central members: those whose prefix holds most of what others share have least of their own
+            central = large.join(large.groupBy("node").agg(F.count("*").alias("c")), "node")
+            first = F.row_number().over(Window.partitionBy("token").orderBy(F.desc("c"), F.xxhash64("node", F.lit(k)), "node"))
+            three = central.withColumn("r", first).where("r <= 3").groupBy("token").agg(F.sort_array(F.collect_list("node")).alias("three"))
+            three = settled(three.select("token", F.xxhash64("three").alias("pivot"), "three"), "central")
+            wholes = three.dropDuplicates(["pivot"]).select("pivot", F.explode("three").alias("node")).join(sets.select("node", "whole"), "node")
+            base = settled(wholes.groupBy("pivot").agg(F.collect_list("whole").alias("members")).mapInArrow(references, "pivot long, base binary"), "references")
+            group = large.join(three.select("token", "pivot"), "token").select("pivot", "node").distinct()
+            ready = group.join(sets.select("node", "whole"), "node").join(base, "pivot")
+            rows = settled(ready.mapInArrow(differences, "pivot long, element long, node long, n long, d long, role int, place int"), "differences")
+            near = rows.where("role = 0").select("pivot", "node", "n", "d")
+            by_size = near.groupBy("pivot", F.col("n").alias("nr")).agg(F.min(F.struct("d", "node")).alias("r")).select("pivot", "nr", F.col("r.d").alias("dr"), F.col("r.node").alias("rep"))
+            sure = near.join(by_size, "pivot").where(f"node != rep and (d + dr) * {den + num} <= (n + nr) * {den - num}")
+            sure = settled(sure.select(F.least("node", "rep").alias("a"), F.greatest("node", "rep").alias("b")).distinct(), "sure")
+            links = sure if links is None else links.union(sure)
+            met = rows.where("role > 0").groupBy("pivot", "element").agg(F.count_if(F.col("role") == 1).alias("s"), F.count_if(F.col("role") == 2).alias("l")).where("s > 0 and l > 1")
+            met = settled(met.select("pivot", "element", (F.col("s") * F.col("l") > PER_ROW * (F.col("s") + F.col("l"))).alias("again")), "met")
+            few = rows.join(met.where("not again").select("pivot", "element"), ["pivot", "element"])
+            small = few.where("role = 1").select("pivot", "element", F.col("node").alias("u"), F.col("n").alias("nu"), F.col("d").alias("du"), F.col("place").alias("iu"))
+            wide = few.where("role = 2").select("pivot", "element", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("d").alias("dv"), F.col("place").alias("iv"))
+            # a shared element lies early enough in both orders for the overlap that these two sizes need
+            most = f"((nu + nv) * {den - num} div {den + num})"
+            near = f"(du < dv or (du = dv and u != v)) and 2 * iu <= {most} - (dv - du) and 2 * iv <= {most} + (dv - du) and least(nu, nv) * {den} >= greatest(nu, nv) * {num}"
+            found = small.join(wide, ["pivot", "element"]).where(near).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
+            pairs = settled(found if pairs is None else pairs.union(found), "relative")
+            again = rows.where("role > 0").join(met.where("again").select("pivot", "element"), ["pivot", "element"])
+            large = settled(self.once(again.select(F.xxhash64("pivot", "element").alias("token"), "node", "n").distinct()), "large")
+        return links, pairs
+
+    def connected(self, pairs: DataFrame, large: DataFrame, sets: DataFrame, rarity) -> DataFrame:
+        """(node, component) over all links, from as many verified pairs as that takes."""
+        links, more = self.relative(large, sets, rarity)
+        release(self.spark)
+        rest = pairs if more is None else settled(pairs.union(more).distinct(), "pairs")
+        # one candidate for each node first: most of the others then lie within components
+        first = settled(rest.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first")
+        new = self.verified(first, sets)
+        comp = settled(components(new if links is None else new.union(links)), "components")
+        left = settled(apart(rest.join(first, ["a", "b"], "left_anti"), comp), "rest")
+        if not left.isEmpty():
+            new = self.verified(left, sets)
+            comp = settled(components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(new)), "components")
+        return comp
 
     def components(self) -> DataFrame:
         """doc_id, n_shingles and component_id of every row."""
-        hot = self.frequent()
-        rows, nodes = self.nodes(hot)
-        pairs, large = self.candidates(nodes, hot)
-        comp = components(self.links(pairs, large))
-        named = rows.where("node != 0").groupBy("node").agg(F.min("id").alias("low")).join(comp, "node", "left").select("node", "low", F.coalesce("component", "node").alias("component"))
+        rarity = self.rarity()
+        rows, nodes = self.nodes(rarity)
+        pairs, large = self.candidates(nodes, rarity)
+        comp = self.connected(pairs, large, self.sets(pairs, large), rarity)
+        named = rows.where("node != 0").groupBy("node").agg(F.min("id").alias("low"))
+        named = named.join(comp, "node", "left").select("node", "low", F.coalesce("component", "node").alias("component"))
         named = settled(named, "named")
         lowest = named.groupBy("component").agg(F.min("low").alias("component_id"))
         by_node = named.join(lowest, "component").select("node", "component_id")
-        return rows.join(by_node, "node", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("node") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+        return rows.select("id", "n", "node").join(by_node, "node", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("node") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
