@@ -45,7 +45,11 @@ class MergeAutomaton:
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], suffix: str = ""):
         self.vocab, self.suffix = vocab, suffix
         self.labels = {i: t for t, i in vocab.items()}
-        self.longest = max(map(len, vocab))
+        self.reach: dict[str, int] = {}  # by three symbols, the longest label that begins with them
+        for t in vocab:
+            body = t.removesuffix(suffix) if suffix else t
+            if len(body) >= 3:
+                self.reach[body[:3]] = max(self.reach.get(body[:3], 0), len(body))
         n = max(vocab.values()) + 1
         self.left, self.right, self.born = [-1] * n, [-1] * n, [-1] * n
         self.cut: dict[tuple[int, int], int] = {}
@@ -96,7 +100,8 @@ class MergeAutomaton:
         if not n:
             return []
         ids: list[int] = []
-        at, size, dead = [0], [min(n, self.longest)], set()
+        reach = self.reach
+        at, size, dead = [0], [min(n, reach.get(word[:3], 2))], set()
         while True:
             i, k = at[-1], size[-1]
             x = ids[-1] if ids else -1
@@ -122,7 +127,8 @@ class MergeAutomaton:
             if i + k == n:
                 return ids
             at.append(i + k)
-            size.append(min(n - i - k, self.longest))
+            i += k
+            size.append(min(n - i, reach.get(word[i : i + 3], 2)))
 
 
 class WordTokenizer:
