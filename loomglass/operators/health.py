@@ -17,16 +17,20 @@ def feed_health(builds: DataFrame, key: str = "feed_key", recent: int = RECENT)
     successes, of the recent ones, in whole milliseconds.
     """
     newest = Window.partitionBy(key).orderBy(F.desc("built_at"), F.desc("id"))
-    seen = builds.select(key, "id", "built_at", "ok").withColumn("rn", F.row_number().over(newest)).where(F.col("rn") <= recent)
-    so_far = newest.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    streaks = seen.withColumn("oks", F.sum(F.col("ok").cast("int")).over(so_far)).groupBy(key).agg(
-        F.count_if(F.col("oks") == 0).alias("failure_streak"), F.count("*").alias("total_recent"), F.max(F.when(F.col("ok"), F.col("built_at"))).alias("last_success")
-    )
-    good = builds.where("ok").select(key, "id", "built_at").withColumn("rn", F.row_number().over(newest)).where(F.col("rn") <= recent)
     at = F.unix_seconds(F.col("built_at").cast("timestamp"))
-    gap = F.lag(at).over(newest) - at
-    gaps = good.withColumn("gap", gap).where("gap is not null").groupBy(key).agg((F.sum("gap") * 1000).alias("s"), F.count("*").alias("c")).select(key, F.expr("s div c").alias("avg_gap_ms"))
-    return streaks.join(gaps, key, "left").withColumn("avg_gap_ms", F.coalesce("avg_gap_ms", F.lit(0)))
+    # one shuffle: every window and the aggregate are partitioned by the key
+    seen = builds.select(key, "id", "built_at", "ok").select(
+        key, "built_at", "ok", at.alias("at"), F.row_number().over(newest).alias("rn"),
+        F.sum(F.col("ok").cast("int")).over(newest.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("oks"),
+        F.last(F.when(F.col("ok"), at), ignorenulls=True).over(newest.rowsBetween(Window.unboundedPreceding, -1)).alias("next_ok"),
+    )
+    here = F.col("rn") <= recent
+    gap = F.when(F.col("ok") & (F.col("oks") <= recent), F.col("next_ok") - F.col("at"))
+    out = seen.groupBy(key).agg(
+        F.count_if(here & (F.col("oks") == 0)).alias("failure_streak"), F.count_if(here).alias("total_recent"), F.max(F.when(here & F.col("ok"), F.col("built_at"))).alias("last_success"),
+        F.sum(gap).alias("s"), F.count(gap).alias("c"),
+    )
+    return out.select(key, "failure_streak", "total_recent", "last_success", F.when(F.col("c") > 0, F.expr("(s * 1000) div c")).otherwise(0).alias("avg_gap_ms"))
 
 
 def listing(builds: DataFrame, cache: DataFrame, now: str, key: str = "feed_key") -> DataFrame:
