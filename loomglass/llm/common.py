@@ -23,6 +23,9 @@ from ..shipping import ship
 BATCH_ROWS = 256
 #: Text bytes that a kernel handles at once; a longer document is a chunk of its own.
 CHUNK_BYTES = 1 << 20
+#: Rows that a kernel handles at once, whatever batches the session sends.
+MOST_ROWS = 1024
+#: Files of a settled table for each core of the cluster.
 FILES_PER_CORE = 4
 U64 = np.uint64
 
@@ -56,10 +59,11 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     """Write a result to the shared folder and read it back: lineage is cut and a lost executor loses nothing.
 
     The last stage's partitions are gathered to FILES_PER_CORE for each of the cluster's cores, so that a small result
-    of many partitions is not as many files.
+    of many partitions is not as many files. With dynamic allocation the cores are not known, and nothing is gathered.
     """
-    path = fresh_path(df.sparkSession, name)
-    df.coalesce(FILES_PER_CORE * df.sparkSession.sparkContext.defaultParallelism).write.parquet(path)
+    path, context = fresh_path(df.sparkSession, name), df.sparkSession.sparkContext
+    steady = context.getConf().get("spark.dynamicAllocation.enabled", "false").lower() != "true"
+    (df.coalesce(FILES_PER_CORE * context.defaultParallelism) if steady else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -141,7 +145,7 @@ def text_map(df: DataFrame, columns: list[str], text: str, schema: str, kernel:
     batch's rows and returns a RecordBatch or a dict of columns.
     """
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(k, MOST_ROWS) for b in batches for k in range(0, b.num_rows, MOST_ROWS)):
             data, offs = utf8_view(batch.column(text))
             for i, j in spans_of(offs):
                 got = kernel(batch.slice(i, j - i), data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])

@@ -411,7 +411,11 @@ def _made_up(r: np.random.Generator, kind: int) -> str:
 
 def fit_tagger(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", train_docs: int = TRAIN_DOCS) -> SpanTagger:
     """Train on the at most train_docs documents with a digit or "@" whose ids have the smallest hashes."""
-    rows = docs.where(F.col(text).rlike("[0-9@]") & F.col(doc_id).isNotNull()).orderBy(F.xxhash64(doc_id), doc_id, F.xxhash64(text)).select(F.col(text).alias("t")).limit(train_docs).collect()
+    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).where(F.col("t").rlike("[0-9@]") & F.col("id").isNotNull())
+    # ids first, so that no task sends texts for the choice; the marked rows are train_docs ids, so they may be broadcast
+    chosen = rows.select("id", F.xxhash64("id").alias("h"), F.xxhash64("t").alias("k")).orderBy("h", "id", "k").limit(train_docs).select("id", "k").distinct()
+    marked = rows.withColumn("k", F.xxhash64("t")).join(F.broadcast(chosen), ["id", "k"]).dropDuplicates(["id", "k"])
+    rows = sorted(marked.select("id", "k", "t").collect(), key=lambda r: (r.id, r.k))
     return SpanTagger().fit(*training_windows([r.t for r in rows]))
 
 
