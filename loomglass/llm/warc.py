@@ -98,7 +98,7 @@ def written(pages: DataFrame, folder: str | None = None, **names: str) -> DataFr
         where, path = fs.FileSystem.from_uri(folder)
         where.create_dir(path, recursive=True)
         context = TaskContext.get()
-        file = f"part-{context.partitionId():06d}-{context.taskAttemptId()}.warc.gz"
+        file = f"part-{context.partitionId():06d}-{context.taskAttemptId()}-{uuid.uuid4().hex[:12]}.warc.gz"  # a task may run several partitions
         at = 0
         with where.open_output_stream(f"{path}/{file}", compression=None) as out:
             for batch in batches:

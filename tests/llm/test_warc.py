@@ -37,3 +37,17 @@ def test_ranges_coalesce():
 def test_damage_is_noticed():
     with pytest.raises(ValueError):
         warc.parsed(b"HTTP/1.1 200 OK\r\n\r\n")
+
+
+def test_a_task_of_several_partitions_writes_a_file_for_each(spark):
+    rows = [(k, "u", f"page {k} " * 40) for k in range(200)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        index = warc.written(frame(spark, rows).repartition(64))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert index.select("file").distinct().count() > 16
+    assert sorted(r.page_id for r in warc.read_back(index).collect()) == list(range(200))
