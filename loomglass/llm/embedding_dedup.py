@@ -10,10 +10,14 @@ a node keeps the LIST best it has met. Edges under FLOOR are not followed.
 Rounds end when few edges change.
 
 Edges of at least the threshold are links. A list whose last entry is a link
-is saturated and may hide more; such lists are enlarged to all members of
-their component at once, in products of blocks of BLOCK nodes, which count
-links without listing them. (Small components are treated the same, so that
-link counts are exact within every component.) Last, the recall is audited:
+is saturated and may hide more. Links that leave a saturated component are
+found by comparing all such components of a label: each is cut into blocks of
+at most BLOCK nodes with a centre and a radius (an angle), pairs of blocks that
+are too far apart to hold a link are passed over, and all others are compared
+node by node; components with a link between them become one. Links within
+components are counted in products of blocks, which count without listing.
+(Small components are treated the same, so that link counts are exact within
+every component.) Last, the recall is audited:
 AUDIT nodes are compared with all nodes, and if fewer than GOAL of their links
 lie within components, more orderings are added and the search resumes.
 
@@ -182,6 +186,66 @@ class NeighbourDescent:
                 break
         return graph
 
+    def joined(self, comp: DataFrame, graph: DataFrame) -> DataFrame:
+        """comp with those components made one that have links between saturated lists, which neither list shows."""
+        full = graph.groupBy("a").agg(F.count("*").alias("c"), F.min("sim").alias("low")).where((F.col("c") >= LIST) & (F.col("low") >= self.threshold)).select(F.col("a").alias("node"))
+        hidden = comp.join(full, "node").select("component").distinct()
+        links = self.crossing(comp.join(hidden, "component"))
+        if links.isEmpty():
+            return comp
+        merged = settled(components(links), "merged").select(F.col("node").alias("component"), F.col("component").alias("into"))
+        return settled(comp.join(merged, "component", "left").select("node", F.coalesce("into", "component").alias("component")), "components")
+
+    def crossing(self, comp: DataFrame) -> DataFrame:
+        """Pairs (a, b) of the components given that have a link between them."""
+        kind, threshold = self.kind, self.threshold
+        theta = float(np.arccos(min(1.0, threshold))) + 1e-6
+        sizes = comp.groupBy("component").agg(F.count("*").alias("size"))
+        piece = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK)).cast("int")
+        parts = comp.join(sizes, "component").withColumn("piece", piece).join(self.nodes.select("node", "grp", "vec"), "node").groupBy("grp", "component", "piece").agg(F.collect_list("vec").alias("m"))
+
+        def balls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                centre, radius = [], []
+                for raw in b.column("m").to_pylist():
+                    v = unit(raw, kind)
+                    c = v.mean(0)
+                    c = c / np.linalg.norm(c) if np.linalg.norm(c) > 1e-9 else v[0]
+                    centre.append(c.tobytes())
+                    radius.append(float(np.arccos(np.clip((v @ c).min(), -1, 1))))
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("grp", "component", "piece", "m")), pa.array(centre, pa.binary()), pa.array(radius, pa.float64())], ["grp", "component", "piece", "m", "centre", "radius"])
+
+        def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                out: list[list] = [[], [], [], []]
+                for x, y in zip(b.column("x"), b.column("y")):
+                    p = x.as_py()
+                    q = y.as_py() if y.is_valid else p
+                    u, w = (np.frombuffer(b"".join(r["centre"] for r in z)).reshape(len(z), -1) for z in (p, q))
+                    far = np.arccos(np.clip(u @ w.T, -1, 1)) - np.array([r["radius"] for r in p])[:, None] - np.array([r["radius"] for r in q])
+                    cp, cq = (np.array([r["component"] for r in z]) for z in (p, q))
+                    maybe = (far <= theta) & (cp[:, None] != cq)
+                    for i, j in np.argwhere(np.triu(maybe) if not y.is_valid else maybe).tolist():
+                        for k, v in enumerate((p[i]["component"], p[i]["piece"], q[j]["component"], q[j]["piece"])):
+                            out[k].append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int32()))], ["a", "pa", "b", "pb"])
+
+        def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                has = [bool((unit(x.as_py(), kind) @ unit(y.as_py(), kind).T >= threshold).any()) for x, y in zip(b.column("x"), b.column("y"))]
+                yield b.select(["a", "b"]).filter(pa.array(has, pa.bool_()))
+
+        with arrow_rows(self.spark, 4):
+            parts = settled(parts.mapInArrow(balls, "grp string, component long, piece int, m array<binary>, centre binary, radius double"), "balls")
+            number = parts.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks"))
+            chunk = F.pmod(F.xxhash64("component", "piece"), F.col("chunks")).cast("int")
+            groups = parts.select("grp", "component", "piece", "centre", "radius").join(number, "grp").withColumn("chunk", chunk).groupBy("grp", "chunk").agg(F.collect_list(F.struct("component", "piece", "centre", "radius")).alias("x"), F.max("chunks").alias("chunks"))
+            first = groups.select("grp", "chunk", F.explode(F.sequence("chunk", F.col("chunks") - 1)).alias("other"), "x")
+            met = first.join(groups.select("grp", F.col("chunk").alias("other"), F.col("x").alias("y")), ["grp", "other"]).select("x", F.when(F.col("chunk") != F.col("other"), F.col("y")).alias("y"))
+            pairs = settled(met.mapInArrow(close, "a long, pa int, b long, pb int"), "pairs")
+            one, two = (parts.select(F.col("component").alias(c), F.col("piece").alias("p" + c), F.col("m").alias(m)) for c, m in (("a", "x"), ("b", "y")))
+            return settled(pairs.join(one, ["a", "pa"]).join(two, ["b", "pb"]).select("a", "b", "x", "y").mapInArrow(linked, "a long, b long").distinct(), "crossing")
+
     def counted(self, comp: DataFrame) -> DataFrame:
         """(node, links to other rows) within each component of more than one node, by products of blocks."""
         kind, threshold = self.kind, self.threshold
@@ -256,7 +320,7 @@ class NeighbourDescent:
                 fresh = more if fresh is None else fresh.union(more)
             fresh = fresh.withColumn("fresh", F.lit(1))
             graph = self.refined(fresh if graph is None else graph.withColumn("fresh", F.lit(0)).unionByName(fresh))
-            comp = settled(components(graph.where(F.col("sim") >= self.threshold)), "components")
+            comp = self.joined(settled(components(graph.where(F.col("sim") >= self.threshold)), "components"), graph)
             self.recall = self.audit(comp)
             if self.recall >= GOAL:
                 break

@@ -53,3 +53,19 @@ def test_edges(spark):
     alone = {(k, 0, k, True) for k in (1, 2, 3, 4, 5, 8, 9, 10)}
     assert got == alone | {(None, 0, None, None), (6, 2, 6, True), (7, 2, 6, False)}
     assert NeighbourDescent(frame(spark, rows).limit(0)).links().count() == 0
+
+
+def test_links_between_saturated_groups_are_found(spark):
+    r = random.Random(3)
+    turn = 0.166  # cosine 0.986 across, well above 0.999 inside
+    rows = []
+    for k in range(36):
+        family, side = divmod(k // 12, 2) if k < 24 else (1, 0)
+        base = [0.0] * 16
+        base[8 * family], base[8 * family + 1] = math.cos(turn * side), math.sin(turn * side)
+        rows.append((k, [x + r.gauss(0, 0.003) for x in base], 0))
+    import numpy as np
+
+    rows = [(k, [float(np.float32(x)) for x in v], y) for k, v, y in rows]
+    got = sorted((x.vec_id, x.n_links, x.component_id) for x in NeighbourDescent(frame(spark, rows)).links().collect())
+    assert got == expected(rows) == [(k, 23 if k < 24 else 11, 0 if k < 24 else 24) for k in range(36)]
