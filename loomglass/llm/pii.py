@@ -10,9 +10,9 @@ no base span and still holds what its kind needs (an address with a domain,
 four bytes, a card number that passes Luhn, 10 to 15 digits), whatever marks
 stand between.
 
-No kind can be spelt without a digit or an "@", so decoding is constrained to
-spans that hold one, and windows that hold none have the all-outside path;
-they are not run through the network.
+What a model's span needs is a digit, an "@" or an "at" in brackets, so windows
+that hold none of them, nor a "dot" in brackets, are taken as all-outside and
+are not run through the network.
 
 The model is trained in numpy on at most TRAIN_DOCS documents whose base spans
 are the labels, partly respelt in ways the rules don't match.
@@ -42,6 +42,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _ANCHOR = re.compile(r"[0-9@]")
+_GATE = re.compile(r"[0-9@]|[\[({]\s?(?:at|dot)\s?[\])}]")
 _DIGITS = re.compile(r"[^0-9]+")
 
 
@@ -280,9 +281,9 @@ def holds(kind: int, span: str) -> bool:
 
 
 def anchored_windows(text: str) -> list[int]:
-    """Starts of the windows that hold a digit or an "@"."""
+    """Starts of the windows that hold a digit, an "@", or an "at" or "dot" in brackets."""
     out: list[int] = []
-    for m in _ANCHOR.finditer(text):
+    for m in _GATE.finditer(text):
         last = m.start() // STRIDE
         for w in range(max(0, last - (WIDTH - 1) // STRIDE), last + 1):
             if w * STRIDE <= m.start() < w * STRIDE + WIDTH and (not out or w * STRIDE > out[-1]):

@@ -49,6 +49,20 @@ def test_model_adds_respelt_spans_and_keeps_base(model):
     assert pii.redacted(text, spans).endswith("base [ip] stays")
 
 
+def test_addresses_without_digits_are_decoded_and_redacted(spark):
+    r = __import__("numpy").random.default_rng(4)
+    name = lambda n: "".join(r.choice(list("abcdefghijklmnopqrstuvwxyz"), n))
+    texts = [f"Some words here and contact {name(4)}.{name(4)}@{name(7)}.com or other words follow in this line." for _ in range(80)]
+    model = pii.SpanTagger().fit(*pii.training_windows(texts), steps=300)
+    for at in ("(at)", "[at]", "{at}", "( at )"):
+        assert pii.anchored_windows("word " * 40 + f"john {at} example" + " word" * 40)
+    assert pii.anchored_windows("word " * 80) == []
+    text = "Some words here and contact john.doe (at) example [dot] com or other words follow in this line."
+    row = pii.spotted(spark.createDataFrame([(1, text)], "doc_id long, text string"), model, ["doc_id"], redact=True).first()
+    assert [(s.kind, text[s.start : s.end], s.by_model) for s in row.pii] == [("email", "john.doe (at) example [dot] com", True)]
+    assert row.clean == "Some words here and contact [email] or other words follow in this line."
+
+
 def test_reconciled_keeps_the_heaviest_set():
     assert pii.reconciled([(0, 10, 0, 1.0), (5, 15, 0, 2.0), (20, 30, 1, 5.0), (25, 40, 2, 4.0), (29, 50, 3, 3.0)]) == [(0, 0, 15), (20, 1, 30)]
 
