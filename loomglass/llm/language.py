@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .carry import carried
-from .common import BY_SPACE, LOWER, U64, Words, configure, mixed, text_map
+from .common import BY_SPACE, LOWER, U64, Words, configure, mixed, spans_of, text_map
 
 DOCS_PER_LANGUAGE, ROUNDS, LONGEST = 400, 4, 12
 #: Rows that may be broadcast to mark the sample.
@@ -34,6 +34,8 @@ MARK = 1  # byte that stands for the word start in place of the vocabulary's sig
 FLOOR = 1e-7  # of a byte that no piece covers
 SCALE = 4.0  # mean factor by which a byte shrinks a word's probability; kept out of the sums and put back in logs
 BLOCK = 6  # languages at once
+RESCALED = 16  # bytes after which expected counts are rescaled, at least LONGEST
+FIT_BYTES = 1 << 18  # of words in one lattice while fitting; a longer word is a lattice of its own
 
 
 def lowered(data: np.ndarray) -> np.ndarray:
@@ -186,30 +188,47 @@ class Lattice:
         """Expected piece counts of weighted words under one language's probabilities."""
         n = len(self.arcs[0]) if self.arcs else 0
         a = np.zeros(n + len(self.size))  # one more place a word: before its first byte
+        up, down = np.zeros_like(a), np.zeros_like(a)  # logs of what each place was divided by
         shifted = self.place[:-1] + np.arange(len(self.size))
         a[shifted] = 1
         word = np.repeat(np.arange(len(self.size)), self.size)
         steps = int(self.size[0]) if len(self.size) else 0
         prob = [np.where(f >= 0, p[f], FLOOR * SCALE if k == 0 else 0.0) for k, f in enumerate(self.arcs)]
+        back = np.arange(LONGEST)  # the places that others are still reached from
         for t in range(steps):
             at = self.live(t)
             to = at + word[at] + 1
+            up[to] = up[to - 1]
             for k in range(1, min(t + 1, len(self.arcs)) + 1):
                 a[to] += a[to - k] * prob[k - 1][at]
+            if t % RESCALED == RESCALED - 1:
+                near = to[:, None] - back
+                top = np.maximum(a[near].max(1, keepdims=True), 1e-300)
+                a[near] /= top
+                up[near] += np.log(top)
         b = np.zeros_like(a)
         b[shifted + self.size] = 1
+        so_far = np.zeros(len(self.size))
         for t in range(steps - 1, -1, -1):
             at = self.live(t)
             to = at + word[at] + 1
+            if t % RESCALED == RESCALED - 1:
+                near = to[:, None] - back
+                top = np.maximum(b[near].max(1), 1e-300)
+                b[near] /= top[:, None]
+                so_far[: len(at)] += np.log(top)
+            down[to] = so_far[: len(at)]
             for k in range(1, min(t + 1, len(self.arcs)) + 1):
                 b[to - k] += b[to] * prob[k - 1][at]
-        z = np.maximum(a[shifted + self.size], 1e-300)
+        end = shifted + self.size
+        z, whole = np.maximum(a[end], 1e-300), up[end]
         out = np.zeros(n_pieces)
         to = np.arange(n) + word + 1
         for k, found in enumerate(self.arcs, 1):
             use = np.flatnonzero(found >= 0)
             w = word[use]
-            out += np.bincount(found[use], weight[w] * a[to[use] - k] * b[to[use]] * prob[k - 1][use] / z[w], n_pieces)
+            scale = np.exp(np.minimum(up[to[use] - k] + down[to[use]] - whole[w], 600))
+            out += np.bincount(found[use], weight[w] * a[to[use] - k] * b[to[use]] * prob[k - 1][use] / z[w] * scale, n_pieces)
         return out
 
 
@@ -226,15 +245,18 @@ class UnigramLanguages:
         pieces = table(self.path)
         scale = SCALE ** np.array([len(b) for b in vocabulary(self.path)], float)
         for j, counts in enumerate(words):
-            text = [w for w in counts if len(w.encode()) <= 64]
+            text = list(counts)
             data = np.frombuffer("".join(text).encode(), np.uint8)
-            ends = np.cumsum([len(w.encode()) for w in text])
-            buf, place, order = marked_words(data, np.concatenate(([0], ends[:-1])).astype(np.int64), ends.astype(np.int64))
-            lattice = Lattice(buf, place, pieces)
-            weight = np.array([counts[w] for w in text], float)[order]
+            ends = np.cumsum([len(w.encode()) for w in text]).astype(np.int64)
+            offs = np.concatenate(([0], ends)).astype(np.int64)
+            number = np.array([counts[w] for w in text], float)
+            parts = []
+            for x, y in spans_of(offs, FIT_BYTES):
+                buf, place, order = marked_words(data, offs[x:y], offs[x + 1 : y + 1])
+                parts.append((Lattice(buf, place, pieces), number[x:y][order]))
             p = np.full(pieces.n, 1 / pieces.n)
             for _ in range(ROUNDS):
-                c = lattice.expected(p * scale, weight, pieces.n)
+                c = sum((lattice.expected(p * scale, weight, pieces.n) for lattice, weight in parts), np.zeros(pieces.n))
                 p = (c + 0.02) / (c.sum() + 0.02 * pieces.n)
             self.p[:, j] = p * scale
         return self

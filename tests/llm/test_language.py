@@ -47,6 +47,25 @@ def test_long_words_do_not_underflow():
     assert math.isfinite(language.Lattice(buf, place, language.table(VOCABULARY)).forward(model.p)[0, 0])
 
 
+def test_languages_without_spaces_are_learnt(spark):
+    r = np.random.default_rng(6)
+    letters = {"zh": "的一是不了人我在有他这中大来上国", "ja": "のにはをたがでてとしれさあるいか"}
+    text = lambda l: "".join(r.choice(list(letters[l]), 120))
+    rows = [(k, text("zh" if k % 4 else "ja"), "zh" if k % 4 else "ja") for k in range(48)]
+    model = language.fit_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"), VOCABULARY)
+    new = spark.createDataFrame([(k, text(l), l) for k, l in enumerate(["zh", "ja"] * 5)], "doc_id long, text string, lang string")
+    assert all(x.lang_pred == x.lang for x in language.identified(new, model, ["doc_id", "lang"]).collect())
+
+
+def test_expected_counts_of_a_long_word_add_up():
+    bodies, pieces = language.vocabulary(VOCABULARY), language.table(VOCABULARY)
+    p = np.full(len(bodies), 1e-4) * language.SCALE ** np.array([len(b) for b in bodies], float)
+    raw = np.frombuffer(b"theword" * 300, np.uint8)
+    buf, place, _ = language.marked_words(raw, np.array([0]), np.array([len(raw)]))
+    c = language.Lattice(buf, place, pieces).expected(p, np.ones(1), pieces.n)
+    assert math.isclose(sum(x * len(b) for x, b in zip(c, bodies)), len(raw) + 1, rel_tol=1e-6)
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     out = queries.op6_language(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id")
