@@ -527,7 +527,8 @@ def feed_round_trip(spark, sf):
 
 @query()
 def opml_export(spark, sf):
-    rows = items.numbered(listing(spark, sf).orderBy(*health.sort_order("feed")).limit(200), 0, health.sort_order("feed")).select(F.col("pos").alias("ord"), F.col("key").cast("string").alias("key"), "source_url")
+    # a range partitioned sort; the ids rise with it
+    rows = listing(spark, sf).orderBy(*health.sort_order("feed")).select(F.monotonically_increasing_id().alias("ord"), F.col("key").cast("string").alias("key"), "source_url")
     return writers.opml(rows, "Subscriptions", CLOCK)
 
 
