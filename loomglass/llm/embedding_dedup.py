@@ -17,33 +17,38 @@ are too far apart to hold a link are passed over, and all others are compared
 node by node; components with a link between them become one. Links within
 components are counted in products of blocks, which count without listing.
 (Small components are treated the same, so that link counts are exact within
-every component.) Last, the recall is audited:
-AUDIT nodes are compared with all nodes, and if fewer than GOAL of their links
-lie within components, more orderings are added and the search resumes.
+every component.) Last, the recall is audited: a sample of nodes is compared
+with all nodes; it is made larger until LINKED of them have links, or all of
+AUDIT_MOST were asked. Each linked node counts for as much, whatever the number
+of its links. If less than GOAL of their links lie within components, more
+orderings are added and the search resumes; after AUDIT_ROUNDS of that, what is
+left apart is compared exhaustively in blocks.
 
 Results: a vector that is null, zero or holds null or non-finite components,
 or has no label or id, links with nothing and is its own component (null if
-its id is). Rows repeated with one id count as vectors of their own.
+its id is). Every row is a vector of its own, also where rows share an id: an
+id may stand for several vectors or labels, each with its own links; components
+are named by the smallest id in them.
 """
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import arrow_rows, components, configure, dropped, settled
+from .common import U64, arrow_rows, components, configure, dropped, mixed, settled
 
 THRESHOLD, FLOOR = 0.98, 0.7
 TABLES, LIST, REVERSE, ROUNDS, CHANGE = 4, 10, 12, 4, 0.002
 BLOCK, OVERLAP = 512, 128
-AUDIT, GOAL, AUDIT_ROUNDS = 256, 0.98, 3
+AUDIT, AUDIT_MOST, LINKED, GOAL, AUDIT_ROUNDS = 256, 4096, 64, 0.98, 6
 BITS = 48
 
 
 def unit(raw: list[bytes], kind: str) -> np.ndarray:
     v = np.frombuffer(b"".join(raw), kind).astype(float).reshape(len(raw), -1)
+    v = v / np.abs(v).max(1, keepdims=True)  # else squares of very large or small numbers are lost
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
@@ -55,9 +60,9 @@ class NeighbourDescent:
         base = vectors.select(F.col(vec_id).alias("id"), F.col(label).cast("string").alias("label"), F.col(embedding).alias("v"))
         self.kind = "<f4" if "float" in dict(base.dtypes)["v"] else "<f8"
         self.rows = settled(base.mapInArrow(self._keys(), f"id {dict(base.dtypes)['id']}, grp string, one long, two long, vec binary"), "vectors")
-        self.nodes = settled(
-            self.rows.where("grp is not null").groupBy("grp", "one", "two").agg(F.min("id").alias("node"), F.count("*").alias("copies"), F.first("vec").alias("vec")).select("node", "grp", "copies", "vec", "one", "two"), "nodes"
-        )
+        one = self.rows.where("grp is not null").groupBy("grp", "one", "two").agg(F.min("id").alias("low"), F.count("*").alias("copies"), F.first("vec").alias("vec"))
+        self.nodes = settled(one.withColumn("node", F.monotonically_increasing_id()), "nodes")  # an id may stand for several vectors, so it is no name
+        self.recall: float | None = None
 
     def _keys(self):
         kind = self.kind
@@ -65,25 +70,24 @@ class NeighbourDescent:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 lists, labels, ids = b.column("v"), b.column("label"), b.column("id")
-                grp, one, two, vec = [], [], [], []
-                for k in range(len(b)):
-                    x = lists[k].values if lists[k].is_valid else None
-                    ok = x is not None and len(x) and not x.null_count and labels[k].is_valid and ids[k].is_valid
-                    if ok:
-                        v = x.to_numpy().astype(kind) + 0.0  # one zero
-                        wide = v.astype(float)
-                        ok = bool(np.isfinite(wide).all() and np.linalg.norm(wide) > 0 and np.isfinite(np.linalg.norm(wide)))
-                    if ok:
-                        raw = v.astype(kind).tobytes()
-                        d = np.frombuffer(hashlib.blake2b(raw, digest_size=16).digest(), np.int64)
-                        grp.append(f"{len(v)}:{labels[k].as_py()}")
-                        one.append(int(d[0]))
-                        two.append(int(d[1]))
-                        vec.append(raw)
-                    else:
-                        for c in (grp, one, two, vec):
-                            c.append(None)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(grp, pa.string()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(vec, pa.binary())], ["id", "grp", "one", "two", "vec"])
+                n = len(b)
+                offs, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).astype(float)  # null components are nan
+                size = np.where(np.logical_and.reduce([c.is_valid().to_numpy(zero_copy_only=False) for c in (lists, labels, ids)]), np.diff(offs), 0)
+                one, two, vec, ok = np.zeros(n, np.int64), np.zeros(n, np.int64), [None] * n, np.zeros(n, bool)
+                for length in np.unique(size[size > 0]).tolist():
+                    at = np.flatnonzero(size == length)
+                    v = values[offs[at][:, None] + np.arange(length)] + 0.0  # one zero
+                    good = np.isfinite(v).all(1) & (v != 0).any(1)
+                    at, v = at[good], v[good]
+                    bits, place = np.ascontiguousarray(v).view(U64), np.arange(length, dtype=U64)
+                    one[at] = mixed(mixed(bits + mixed(place + U64(1))).sum(1)).view(np.int64)
+                    two[at] = mixed(mixed(bits ^ mixed(place + U64(1 << 40))).sum(1)).view(np.int64)
+                    raw, step = v.astype(kind).tobytes(), length * int(kind[2])
+                    for k, i in enumerate(at.tolist()):
+                        vec[i] = raw[k * step : (k + 1) * step]
+                    ok[at] = True
+                grp = [f"{w}:{x}" if good else None for w, x, good in zip(size.tolist(), labels.to_pylist(), ok.tolist())]
+                yield pa.RecordBatch.from_arrays([ids, pa.array(grp, pa.string()), pa.array(one, mask=~ok), pa.array(two, mask=~ok), pa.array(vec, pa.binary())], ["id", "grp", "one", "two", "vec"])
 
         return run
 
@@ -133,7 +137,7 @@ class NeighbourDescent:
                 if a:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a), pa.int64()), pa.array(np.concatenate(c), pa.int64()), pa.array(np.concatenate(s))], ["a", "b", "sim"])
 
-        sorted_nodes = self.nodes.select("grp", "node", "vec").mapInArrow(signed, "grp string, sig long, node long, vec binary").repartitionByRange("grp", "sig").sortWithinPartitions("grp", "sig", "node")
+        sorted_nodes = self.nodes.select("grp", "node", "vec").mapInArrow(signed, "grp string, sig long, node long, vec binary").repartitionByRange("grp", "sig", "node").sortWithinPartitions("grp", "sig", "node")
         with arrow_rows(self.spark, BLOCK - OVERLAP):
             return settled(sorted_nodes.mapInArrow(blocks, "a long, b long, sim double"), "ordering")
 
@@ -281,37 +285,66 @@ class NeighbourDescent:
         with arrow_rows(self.spark, 4):
             return settled(met.select("x", "y").mapInArrow(products, "node long, links long").groupBy("node").agg(F.sum("links").alias("links")), "counts")
 
-    def audit(self, comp: DataFrame) -> float:
-        """Share of the links of AUDIT nodes (of all nodes, those with the smallest hashes) that lie within components."""
-        asked = self.nodes.orderBy(F.xxhash64("node", F.lit(5)), "node").limit(AUDIT).select("node", "grp", "vec").collect()
+    def exhausted(self, comp: DataFrame) -> DataFrame:
+        """comp with all links, by comparing all blocks of a label; only pairs of components come out of it."""
         kind, threshold = self.kind, self.threshold
-        by_grp: dict[str, list] = {}
-        for r in asked:
-            by_grp.setdefault(r.grp, []).append((r.node, bytes(r.vec)))
+        sizes = self.nodes.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("pieces"))
+        own = self.nodes.join(comp, "node", "left").select("grp", "vec", F.coalesce("component", "node").alias("c")).join(sizes, "grp")
+        parts = own.withColumn("piece", F.pmod(F.xxhash64("vec"), "pieces").cast("int")).groupBy("grp", "piece").agg(F.collect_list(F.struct("c", "vec")).alias("m"), F.max("pieces").alias("pieces"))
+        parts = settled(parts, "blocks")
+        met = parts.select("grp", F.explode(F.sequence("piece", F.col("pieces") - 1)).alias("other"), F.col("m").alias("x")).join(parts.select("grp", F.col("piece").alias("other"), F.col("m").alias("y")), ["grp", "other"])
 
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            query = {g: (np.array([n for n, _ in q]), unit([v for _, v in q], kind)) for g, q in by_grp.items()}
+        def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                grp, node, vec = (b.column(c).to_pylist() for c in ("grp", "node", "vec"))
-                a, c = [], []
-                for g in set(grp) & query.keys():
-                    at = [k for k, x in enumerate(grp) if x == g]
-                    names, q = query[g]
-                    x, y = np.nonzero(unit([vec[k] for k in at], kind) @ q.T >= threshold)
-                    own = np.array([node[k] for k in at])[x]
-                    far = own != names[y]
-                    a.append(names[y][far])
-                    c.append(own[far])
-                if a:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a), pa.int64()), pa.array(np.concatenate(c), pa.int64())], ["a", "b"])
+                found: set[tuple[int, int]] = set()
+                for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist()):
+                    cx, cy = (np.array([r["c"] for r in z]) for z in (x, y))
+                    near = (unit([r["vec"] for r in x], kind) @ unit([r["vec"] for r in y], kind).T >= threshold) & (cx[:, None] != cy)
+                    i, j = np.nonzero(near)
+                    found |= set(zip(np.minimum(cx[i], cy[j]).tolist(), np.maximum(cx[i], cy[j]).tolist()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in ([a for a, _ in found], [c for _, c in found])], ["a", "b"])
 
-        truth = self.nodes.select("grp", "node", "vec").mapInArrow(scan, "a long, b long")
+        with arrow_rows(self.spark, 4):
+            links = settled(met.select("x", "y").mapInArrow(linked, "a long, b long").distinct(), "rest")
+        both = comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links)
+        return settled(components(both), "components")
+
+    def audit(self, comp: DataFrame) -> float:
+        """Mean share of their links that linked nodes of the sample (those with the smallest hashes) have within components."""
+        kind, threshold = self.kind, self.threshold
         one, two = (comp.select(F.col("node").alias(s), F.col("component").alias("c" + s)) for s in "ab")
-        got = truth.join(one, "a", "left").join(two, "b", "left").agg(F.count("*"), F.count_if(F.col("ca") == F.col("cb"))).first()
-        return got[1] / got[0] if got[0] else 1.0
+        most = AUDIT
+        while True:
+            asked = self.nodes.orderBy(F.xxhash64("node", F.lit(5)), "node").limit(most).select("node", "grp", "vec").collect()
+            by_grp: dict[str, list] = {}
+            for r in asked:
+                by_grp.setdefault(r.grp, []).append((r.node, bytes(r.vec)))
+
+            def scan(batches: Iterator[pa.RecordBatch], by_grp=by_grp) -> Iterator[pa.RecordBatch]:
+                query = {g: (np.array([n for n, _ in q]), unit([v for _, v in q], kind)) for g, q in by_grp.items()}
+                for b in batches:
+                    grp, node, vec = (b.column(c).to_pylist() for c in ("grp", "node", "vec"))
+                    a, c = [], []
+                    for g in set(grp) & query.keys():
+                        at = [k for k, x in enumerate(grp) if x == g]
+                        names, q = query[g]
+                        x, y = np.nonzero(unit([vec[k] for k in at], kind) @ q.T >= threshold)
+                        own = np.array([node[k] for k in at])[x]
+                        far = own != names[y]
+                        a.append(names[y][far])
+                        c.append(own[far])
+                    if a:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a), pa.int64()), pa.array(np.concatenate(c), pa.int64())], ["a", "b"])
+
+            truth = self.nodes.select("grp", "node", "vec").mapInArrow(scan, "a long, b long")
+            by_node = truth.join(one, "a", "left").join(two, "b", "left").groupBy("a").agg(F.avg((F.col("ca").eqNullSafe(F.col("cb")) & F.col("ca").isNotNull()).cast("int")).alias("r"))
+            got = by_node.agg(F.count("*"), F.avg("r")).first()
+            if got[0] >= LINKED or most >= AUDIT_MOST or len(asked) < most:
+                return got[1] if got[0] else 1.0
+            most *= 4
 
     def links(self) -> DataFrame:
-        """vec_id, n_links, component_id and kept of every row."""
+        """vec_id, n_links, component_id and kept of every row, and the recall that the audit saw."""
         graph, comp = None, None
         for k in range(AUDIT_ROUNDS):
             fresh = None
@@ -324,8 +357,12 @@ class NeighbourDescent:
             self.recall = self.audit(comp)
             if self.recall >= GOAL:
                 break
+        else:
+            comp = self.exhausted(comp)
         counts = self.counted(comp)
-        told = self.nodes.select("grp", "one", "two", "node", "copies").join(comp, "node", "left").join(counts, "node", "left")
-        told = told.select("grp", "one", "two", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "node").alias("c"))
+        told = self.nodes.select("grp", "one", "two", "node", "low", "copies").join(comp, "node", "left").join(counts, "node", "left").withColumn("c", F.coalesce("component", "node"))
+        names = told.groupBy("c").agg(F.min("low").alias("name"))
+        told = told.join(names, "c").select("grp", "one", "two", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"), "name")
         out = self.rows.drop("vec").join(told, ["grp", "one", "two"], "left")
-        return out.select(F.col("id").alias("vec_id"), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("c", "id").cast("long").alias("component_id"), (F.col("id") == F.coalesce("c", "id")).alias("kept"))
+        name = F.coalesce("name", "id")
+        return out.select(F.col("id").alias("vec_id"), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), (name.cast("long") if dict(self.rows.dtypes)["id"] in ("tinyint", "smallint", "int", "bigint") else name).alias("component_id"), (F.col("id") == name).alias("kept"))
