@@ -184,7 +184,7 @@ _ROOT, _BYTE = 0x9E3779B97F4A7C15 | 1, mixed(np.arange(256, dtype=U64) + U64(77)
 _POWERS: dict[str, np.ndarray] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS.get("up", ())) < n:
         size = 1 << max(20, int(n).bit_length())
         with np.errstate(over="ignore"):
@@ -225,7 +225,7 @@ class Words:
         self.end = np.flatnonzero(last) + 1
         self.doc = np.searchsorted(offs, self.start, "right") - 1
         self.first = np.searchsorted(self.doc, np.arange(self.n_docs + 1))  # of each document's words
-        up, down = _powers(len(data) + 1)
+        up, down = powers(len(data) + 1)
         total = np.zeros(len(data) + 1, U64)
         np.cumsum(_BYTE[self.low] * up[: len(data)], out=total[1:])
         self.hash = mixed((total[self.end] - total[self.start]) * down[self.start] + (self.end - self.start).astype(U64))
