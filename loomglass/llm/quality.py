@@ -7,8 +7,21 @@ Forward-backward marginals, weighted by the lines' lengths, give a document's
 share of good text, which a fitted two-parameter logistic curve maps to a
 score.
 
-The field is fitted on at most TRAIN_DOCS labelled documents (those with the
-smallest hashes of their ids), whose label stands for each of their lines.
+Documents are labelled, lines are not: what a line is, is latent. A document
+labelled good has good lines; one labelled bad has a LEAST_BAD share of bad
+text at least, wherever it stands. The field is fitted by expectation and
+maximisation. It starts from a field of lines on their own, without neighbours
+or transitions, that takes each line for what its document is called: clean
+lines are far more often in good documents, so it finds them good. Then each
+document's forward-backward posterior, tilted by the smallest multiplier under
+which its length-weighted share meets that constraint, says what its lines are
+(so good lines of bad documents become good), and the weights are fitted to
+those expected labels and transitions. Features are of a line and its
+neighbours only, so that a document can hold good and bad stretches.
+
+It is fitted on at most TRAIN_DOCS labelled documents (those with the smallest
+hashes of their ids) of at most DOC_LINES lines; longer ones are scored like
+all others, but not learnt from.
 
 Results: a null or empty text counts as one empty line and gets a score too;
 repeated rows get equal scores; without any labelled row every score is 0.5.
@@ -21,7 +34,8 @@ from pyspark.sql import DataFrame, functions as F
 from .carry import carried
 from .common import BY_SPACE, Words, configure, text_map
 
-TRAIN_DOCS = 3000
+TRAIN_DOCS, DOC_LINES = 3000, 100
+LEAST_BAD, EM_ROUNDS = 0.3, 4
 STEPS = (0.02, 0.05, 0.1, 0.2, 0.4)
 
 
@@ -34,8 +48,9 @@ def _kinds() -> np.ndarray:
 
 
 KIND = _kinds()
-BASE = 16
-WIDTH = 1 + 3 * (BASE + len(STEPS) * 3) + 1
+BASE = 15
+OWN = BASE + len(STEPS) * 4
+WIDTH = 1 + 3 * OWN + 1
 
 
 def line_features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -68,20 +83,19 @@ def line_features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.nd
     first = np.searchsorted(line, np.arange(n + 1))
     body = (total[first[1:]] - total[first[:-1]]) ^ doc.astype(np.uint64) * np.uint64(0x632BE59BD9B4E019)
     _, back, seen = np.unique(body, return_inverse=True, return_counts=True)
-    in_doc = np.unique(w.hash ^ w.doc.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9), return_index=True)[1]
-    doc_words = np.maximum(np.diff(w.first), 1)
-    variety = np.bincount(w.doc[in_doc], minlength=n_docs) / doc_words
     upper_start = np.bincount(line, weights=(KIND[data[w.start]] == 1) if len(w.start) else None, minlength=n) if len(line) else np.zeros(n)
     symbol_end = np.bincount(line, weights=np.isin(KIND[data[w.end - 1]], (4, 5)) if len(w.end) else None, minlength=n) if len(line) else np.zeros(n)
+    again = np.flatnonzero((w.hash[1:] == w.hash[:-1]) & (line[1:] == line[:-1])) + 1
+    stutter = np.bincount(line[again], minlength=n)
     full = np.maximum(size, 1)
     per_word = np.maximum(words, 1)
     symbols, capitals, digits = share[5] / full, share[1] / full, share[2] / full
     base = np.stack([
         share[0] / full, capitals, digits, share[3] / full, share[4] / full, symbols, share[6] / full,
         np.log1p(size) / 8, np.log1p(words) / 6, distinct / per_word, np.minimum((full - share[3]) / per_word / 10, 3),
-        upper_start / per_word, symbol_end / per_word, np.log1p(seen[back] - 1) if n else np.zeros(0), variety[doc], np.log1p(doc_words[doc]) / 8,
+        upper_start / per_word, symbol_end / per_word, np.log1p(seen[back] - 1) if n else np.zeros(0), stutter / per_word,
     ])
-    steps = np.stack([r > t for r in (symbols, capitals, symbol_end / per_word) for t in STEPS])
+    steps = np.stack([r > t for r in (symbols, capitals, symbol_end / per_word, stutter / per_word) for t in STEPS])
     own = np.concatenate([base, steps]).T
     out = np.zeros((n, WIDTH), np.float32)
     out[:, 0] = 1
@@ -111,11 +125,11 @@ class LineField:
         order = np.argsort(-count, kind="stable")
         return first[order], count[order]
 
-    def marginals(self, x: np.ndarray, doc: np.ndarray, pairs: bool = False):
-        """P(good) of each line; with pairs also expected transition and start counts and the log-partition sum."""
+    def marginals(self, x: np.ndarray, doc: np.ndarray, pairs: bool = False, tilt: np.ndarray | float = 0.0):
+        """P(good) of each line; with pairs also expected transition and start counts and the log-partition sum. tilt is added to the lines' scores of being good."""
         first, count = self._layout(doc)
         e = np.zeros((len(x), 2))
-        e[:, 1] = x @ self.w
+        e[:, 1] = x @ self.w + tilt
         a, b = np.zeros_like(e), np.zeros_like(e)
         steps = int(count[0]) if len(count) else 0
         for t in range(steps):
@@ -134,24 +148,17 @@ class LineField:
         joint = a[inner][:, :, None] + self.t[None] + (e + b)[inner + 1][:, None, :] - z[inner][:, None, None]
         return good, np.exp(joint).sum(0), np.array([(1 - good[first]).sum(), good[first].sum()]), z[first].sum()
 
-    def fit(self, x: np.ndarray, doc: np.ndarray, size: np.ndarray, label: np.ndarray, rounds: int = 250, rate: float = 0.08, ridge: float = 1e-4) -> "LineField":
-        """Full-batch Adam on the conditional likelihood of the lines' labels; then the curve on documents."""
-        y = label[doc].astype(float)
-        inner = np.flatnonzero(doc[1:] == doc[:-1])
-        seen = np.zeros((2, 2))
-        np.add.at(seen, (y[inner].astype(int), y[inner + 1].astype(int)), 1)
-        first, _ = self._layout(doc)
-        starts = np.array([(1 - y[first]).sum(), y[first].sum()])
-        x = x.astype(float)
-        m, v = np.zeros(len(self.w) + 6), np.zeros(len(self.w) + 6)
-        for k in range(1, rounds + 1):
-            good, pair, start, _ = self.marginals(x, doc, True)
-            g = np.concatenate([x.T @ (good - y), (pair - seen).ravel(), start - starts]) / len(y)
-            p = np.concatenate([self.w, self.t.ravel(), self.s])
-            g += ridge * p
-            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-            p -= rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-9)
-            self.w, self.t, self.s = p[: len(self.w)], p[len(self.w) : -2].reshape(2, 2), p[-2:]
+    def fit(self, x: np.ndarray, doc: np.ndarray, size: np.ndarray, label: np.ndarray, rounds: int = 120, rate: float = 0.08, ridge: float = 1e-4) -> "LineField":
+        """Expectation-maximisation over the lines' latent labels; then the curve on documents."""
+        x, y = x.astype(float), label[doc].astype(float)
+        alone = x.copy()
+        alone[:, 1 + OWN :] = 0
+        self._climb(alone, np.arange(len(doc)), y, np.zeros((2, 2)), np.array([(1 - y).sum(), y.sum()]), rounds, rate, ridge)
+        self.w[0] += self.s[1] - self.s[0]
+        self.s = np.zeros(2)
+        for _ in range(EM_ROUNDS):
+            y, seen, starts = self.expected(x, doc, size, label)
+            self._climb(x, doc, y, seen, starts, rounds // 2, rate / 2, ridge)
         share = self.share(x, doc, size, len(label))
         z, c, d = np.log(share / (1 - share)), 1.0, 0.0
         for _ in range(200):  # Newton steps with a small ridge
@@ -163,6 +170,39 @@ class LineField:
         self.curve = (float(max(c, 1e-3)), float(d))
         return self
 
+    def _climb(self, x, doc, y, seen, starts, rounds, rate, ridge) -> None:
+        """Full-batch Adam towards expected labels y, transitions and starts."""
+        m, v = np.zeros(len(self.w) + 6), np.zeros(len(self.w) + 6)
+        for k in range(1, rounds + 1):
+            good, pair, start, _ = self.marginals(x, doc, True)
+            g = np.concatenate([x.T @ (good - y), (pair - seen).ravel(), start - starts]) / len(y)
+            p = np.concatenate([self.w, self.t.ravel(), self.s])
+            g += ridge * p
+            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+            p -= rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-9)
+            self.w, self.t, self.s = p[: len(self.w)], p[len(self.w) : -2].reshape(2, 2), p[-2:]
+
+    def expected(self, x: np.ndarray, doc: np.ndarray, size: np.ndarray, label: np.ndarray):
+        """(P(good) of each line, transition counts, start counts) given the documents' labels.
+
+        Lines of good documents are good. A bad document's posterior is tilted
+        by the smallest multiplier, found by bisection, with which a LEAST_BAD
+        share of its text is bad.
+        """
+        weight = np.maximum(size, 1) / np.maximum(np.bincount(doc, np.maximum(size, 1), len(label)), 1)[doc]
+        per_line = weight * np.bincount(doc, minlength=len(label))[doc]
+        bad = label == 0
+        low, high = np.zeros(len(label)), np.full(len(label), 40.0)
+        met = bad & (np.bincount(doc, self.marginals(x, doc) * weight, len(label)) <= 1 - LEAST_BAD)
+        high[met] = 0
+        for _ in range(10):
+            middle = (low + high) / 2
+            ok = np.bincount(doc, self.marginals(x, doc, tilt=-middle[doc] * per_line) * weight, len(label)) <= 1 - LEAST_BAD
+            low, high = np.where(ok, low, middle), np.where(ok, middle, high)
+        tilt = np.where(bad[doc], -high[doc] * per_line, 60.0)
+        good, pair, start, _ = self.marginals(x, doc, True, tilt)
+        return good, pair, start
+
     def share(self, x, doc, size, n_docs) -> np.ndarray:
         """Length-weighted mean of the lines' marginals, kept off 0 and 1."""
         weight = np.maximum(size, 1).astype(float)
@@ -185,13 +225,12 @@ def fit_lines(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
     def kernel(batch, data, offs):
         x, doc, size = line_features(data, offs)
         cut = np.searchsorted(doc, np.arange(len(offs)))
-        return {
-            "id": batch.column("id").cast(pa.int64()), "y": batch.column("y").cast(pa.int32()),
-            "x": pa.array([x[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary()), "size": pa.array([size[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary()),
-        }
+        some = np.flatnonzero(np.diff(cut) <= DOC_LINES)
+        part = lambda v: pa.array([v[cut[k] : cut[k + 1]].tobytes() for k in some.tolist()], pa.binary())
+        return {"id": batch.column("id").take(pa.array(some)), "y": batch.column("y").cast(pa.int32()).take(pa.array(some)), "x": part(x), "size": part(size)}
 
     taken = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(rows.withColumnRenamed(doc_id, "id")), "id").withColumnRenamed("__y", "y")
-    got = text_map(taken, ["id", "y"], "text", "id long, y int, x binary, size binary", kernel).toPandas().sort_values(["id", "x"], kind="stable")
+    got = text_map(taken, ["id", "y"], "text", f"id {dict(taken.dtypes)['id']}, y int, x binary, size binary", kernel).toPandas().sort_values(["id", "x"], kind="stable")
     if got.empty:
         return None
     x = [np.frombuffer(b, np.float32).reshape(-1, WIDTH) for b in got["x"]]
