@@ -1,36 +1,45 @@
 """Size-tiered compaction of immutable shards under a versioned manifest, in DataFrame operations only.
 
 A store is a folder with data/ (Parquet files that are never changed) and
-manifest/ (one small Parquet table a version). A shard is a logical run of
-rows inside a data write, named by its number, with its rows and bytes.
+manifest/ (a Parquet table a version, and a small pointer file that names it).
+A shard is a run of rows in one data file, named by its number, with its rows
+and bytes.
 
-* append() writes an arrival as small shards of at most SMALL_BYTES of text
-  and commits a version that lists the old shards and the new ones.
+* append() writes an arrival without a shuffle: what each input task holds
+  becomes one small shard. It commits a version that lists the old shards and
+  the new ones.
 * compact() groups live shards of similar size: tier k holds sizes in
-  [SMALL_BYTES * FAN^k, SMALL_BYTES * FAN^(k+1)). Shards of a tier are taken in
-  order of their number and packed, by a running sum of bytes, into outputs of
-  about TARGET_BYTES; tiers with at least FAN shards are merged, full shards
-  stay. The merged rows are written as new shards, then a version is committed
-  in which they replace their inputs.
-
-A commit writes the version's manifest to a folder of its own and renames it
-to its final name, which must not exist yet; a reader takes the highest
-version that has that name, so it sees all of a commit or nothing. Data files
-of writes that were not committed are never read, and a job that loses an
-executor only repeats tasks.
-
-Which small shard a row goes to depends on its bytes alone: rows are spread by
-a hash of key and text over as many shards as the arrival's total size asks
-for, so a source or key with a third of all rows has its rows in all of them.
-
-Results: null texts count no bytes and are kept; repeated rows are kept;
-an empty arrival commits a version without new shards; other columns are
-carried along.
+  [SMALL_BYTES * FAN^k, SMALL_BYTES * FAN^(k+1)), the lowest also all smaller
+  ones. Shards of a tier are taken in order of their number and packed, by a
+  running sum of bytes, into outputs of about TARGET_BYTES; tiers with at least
+  FAN shards are merged, shards of half the target or more stay. There are as
+  many tasks as outputs, so a task holds about a target's bytes however large
+  the store is. Then a version is committed in which the outputs replace their
+  inputs. Only the files of the shards to be merged are read.
+
+A commit first writes the version's manifest to a folder of its own, then
+creates the pointer file v<number> only if there is none of that name, which
+is what decides between writers. A pointer that is still empty (its writer
+stopped, or has not ended) counts as no version, but its number is taken. A
+reader takes the highest version, so it sees all of a commit or nothing. Data
+files of writes that were not committed are never read, and a job that loses
+an executor only repeats tasks.
+
+Manifests hold a row for each file; one task orders the rows of a tier.
+
+Results: null texts count no bytes and are kept; repeated rows are kept; an
+empty arrival commits a version without new shards; a store without rows gives
+an empty table of the arrival's columns. Other columns are carried along,
+whatever their names: the store's own columns take names that are free, and
+where the rows have a column "shard", their shard's number is in "shard_".
+Arrivals must have the same columns.
 """
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import StructType
 
 from .common import configure, fresh_path
 
@@ -38,6 +47,14 @@ SMALL_BYTES, TARGET_BYTES, FAN = 4 << 20, 64 << 20, 4
 MANIFEST = "shard long, rows long, bytes long, path string, version long"
 
 
+def free_name(name: str, columns: list[str]) -> str:
+    """The name with as many underscores after it as it takes to be no column's."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 class ShardStore:
     def __init__(self, spark: SparkSession, folder: str | None = None, text: str = "text", key: str = "doc_id", small: int = SMALL_BYTES, target: int = TARGET_BYTES, fan: int = FAN):
         self.spark, self.text, self.key = spark, text, key
@@ -50,76 +67,102 @@ class ShardStore:
     def _path(self, p: str):
         return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
 
-    def versions(self) -> list[int]:
+    def _pointers(self) -> list[tuple[int, bool]]:
+        """(number, whether it is committed) of every pointer file."""
         root = self._path(f"{self.folder}/manifest")
-        names = [s.getPath().getName() for s in self.fs.listStatus(root)] if self.fs.exists(root) else []
-        return sorted(int(n[1:]) for n in names if n.startswith("v"))
+        files = [(s.getPath().getName(), s.getLen()) for s in self.fs.listStatus(root)] if self.fs.exists(root) else []
+        return sorted((int(n[1:]), size > 0) for n, size in files if n[:1] == "v" and n[1:].isdigit())
 
-    def manifest(self, version: int | None = None) -> DataFrame:
-        """Live shards of a version, else of the latest."""
+    def versions(self) -> list[int]:
+        return [n for n, done in self._pointers() if done]
+
+    def _told(self, version: int | None = None) -> dict:
+        """What a version's pointer says, else the latest's: its manifest's path, and the schema of the rows."""
         known = self.versions()
         if not known:
-            return self.spark.range(0).selectExpr("id as shard", "id as rows", "id as bytes", "cast(id as string) as path", "id as version")
-        return self.spark.read.schema(MANIFEST).parquet(f"{self.folder}/manifest/v{known[-1] if version is None else version:08d}")
-
-    def commit(self, shards: DataFrame, version: int) -> None:
-        """Make a version visible in one rename; fails if another writer has committed it."""
-        staged = f"{self.folder}/staged-{uuid.uuid4().hex}"
-        shards.select("shard", "rows", "bytes", "path", "version").coalesce(1).write.parquet(staged)
-        self.fs.mkdirs(self._path(f"{self.folder}/manifest"))
-        final = self._path(f"{self.folder}/manifest/v{version:08d}")
-        if self.fs.exists(final) or not self.fs.rename(self._path(staged), final):
-            raise RuntimeError(f"version {version} was committed by another writer")
-
-    def _sized(self, rows: DataFrame) -> DataFrame:
-        return rows.withColumn("__bytes", F.coalesce(F.octet_length(self.text), F.lit(0)).cast("long"))
-
-    def _write(self, rows: DataFrame) -> tuple[str, DataFrame]:
-        """Write rows that carry __shard; returns the path and the new shards' sizes as they stand on disk."""
+            return {}
+        stream = self.fs.open(self._path(f"{self.folder}/manifest/v{known[-1] if version is None else version:08d}"))
+        try:
+            return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def manifest(self, version: int | None = None) -> DataFrame:
+        """Live shards of a version, else of the latest."""
+        told = self._told(version)
+        if not told:
+            return self.spark.createDataFrame([], MANIFEST)
+        return self.spark.read.schema(MANIFEST).parquet(told["manifest"])
+
+    def commit(self, shards: DataFrame, version: int, schema: StructType | None = None) -> None:
+        """Make a version visible by creating its pointer; fails if another writer has that number."""
+        schema = schema or self._schema()
+        path = f"{self.folder}/manifest/rows-{uuid.uuid4().hex}"
+        shards.select("shard", "rows", "bytes", "path", "version").coalesce(1).write.parquet(path)
+        try:
+            out = self.fs.create(self._path(f"{self.folder}/manifest/v{version:08d}"), False)
+        except Exception as e:  # FileAlreadyExistsException, by whatever name the file system has for it
+            raise RuntimeError(f"version {version} was taken by another writer") from e
+        out.write(bytearray(json.dumps({"manifest": path, "schema": schema.jsonValue()}).encode()))
+        out.close()
+
+    def _schema(self, version: int | None = None) -> StructType:
+        told = self._told(version)
+        return StructType.fromJson(told["schema"]) if told else StructType()
+
+    def _next(self) -> int:
+        return max((n for n, _ in self._pointers()), default=0) + 1
+
+    def _own(self, schema: StructType) -> tuple[str, str]:
+        """Names of the columns in data files that hold a row's shard and bytes."""
+        return free_name("__shard", schema.names), free_name("__bytes", schema.names)
+
+    def _write(self, rows: DataFrame, shard: str, size: str, version: int) -> DataFrame:
+        """Write rows that carry their shard's number; returns the new shards as they stand on disk."""
         path = f"{self.folder}/data/{uuid.uuid4().hex}"
-        rows.write.partitionBy("__shard").parquet(path)
-        own = self.spark.read.schema(rows.schema).parquet(path)
-        sizes = own.groupBy(F.col("__shard").cast("long").alias("shard")).agg(F.count("*").alias("rows"), F.sum("__bytes").alias("bytes"))
-        return path, sizes
+        rows.write.parquet(path)
+        own = self.spark.read.schema(rows.schema).parquet(path).select(F.col(shard).alias("shard"), F.col(size).alias("size"), F.input_file_name().alias("path"))
+        return own.groupBy("shard", "path").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes")).select("shard", "rows", "bytes", "path", F.lit(version).cast("long").alias("version"))
 
     def append(self, rows: DataFrame) -> int:
         """Add an arrival as small shards; returns the version."""
-        known = self.versions()
-        version = (known[-1] if known else 0) + 1
-        sized = self._sized(rows)
-        total = sized.agg(F.sum("__bytes"), F.count("*")).first()
-        live = self.manifest()
-        if total[1]:
-            n = max(1, -(-(total[0] or 0) // self.small))
-            base = (live.agg(F.max("shard")).first()[0] or 0) + 1
-            spread = F.pmod(F.xxhash64(self.key, self.text), F.lit(n)) + F.lit(base)
-            path, sizes = self._write(sized.withColumn("__shard", spread).repartition(F.col("__shard")))
-            live = live.select("shard", "rows", "bytes", "path", "version").union(sizes.select("shard", "rows", "bytes", F.lit(path).alias("path"), F.lit(version).cast("long").alias("version")))
-        self.commit(live, version)
+        version, live, schema = self._next(), self.manifest(), self._schema()
+        if schema.names and schema.names != rows.columns:
+            raise ValueError(f"the store's columns are {schema.names}")
+        shard, size = self._own(rows.schema)
+        base = (live.agg(F.max("shard")).first()[0] or 0) + 1
+        sized = rows.withColumn(size, F.coalesce(F.octet_length(F.col(f"`{self.text}`")), F.lit(0)).cast("long")).withColumn(shard, F.spark_partition_id().cast("long") + F.lit(base))
+        self.commit(live.union(self._write(sized, shard, size, version)), version, rows.schema)
         return version
 
     def plan(self, live: DataFrame) -> DataFrame:
-        """(shard, output) for the live shards to be merged."""
+        """(shard, output) for the live shards to be merged; outputs are numbered from 1."""
         tier = F.greatest(F.floor(F.log(F.greatest(F.col("bytes"), F.lit(1)) / F.lit(float(self.small))) / F.log(F.lit(float(self.fan)))), F.lit(-1))
         sized = live.where(F.col("bytes") * 2 < self.target).withColumn("tier", tier)
         run = Window.partitionBy("tier").orderBy("shard")
         packed = sized.withColumn("before", F.sum("bytes").over(run) - F.col("bytes")).withColumn("n", F.count("*").over(Window.partitionBy("tier")))
         packed = packed.where(F.col("n") >= self.fan).withColumn("slot", F.floor(F.col("before") / self.target))
         many = packed.withColumn("members", F.count("*").over(Window.partitionBy("tier", "slot"))).where("members > 1")
-        return many.select("shard", F.dense_rank().over(Window.orderBy("tier", "slot")).cast("long").alias("output"))
+        first, outputs = F.lit(1), 1
+        for r in many.groupBy("tier").agg(F.max("slot").alias("last")).orderBy("tier").collect():  # a tier is a power of FAN: a few rows
+            first = F.when(F.col("tier") == r.tier, outputs).otherwise(first)
+            outputs += r.last + 1
+        return many.select("shard", (first + F.col("slot")).cast("long").alias("output"))
 
     def compact(self) -> int | None:
         """One round; returns the version it committed, or None if nothing was to merge."""
         live = self.manifest()
         plan = self.plan(live)
-        if plan.isEmpty():
+        outputs = plan.agg(F.count_distinct("output")).first()[0]
+        if not outputs:
             return None
-        version = self.versions()[-1] + 1
+        version, schema = self._next(), self._schema()
+        shard, size = self._own(schema)
         base = live.agg(F.max("shard")).first()[0]
-        moved = self.rows(raw=True).join(plan.withColumnRenamed("shard", "__shard"), "__shard")  # inputs only, a shard has one output
-        path, sizes = self._write(moved.withColumn("__shard", F.col("output") + F.lit(base)).drop("output").repartition(F.col("__shard")))
-        stay = live.join(plan, "shard", "left_anti").select("shard", "rows", "bytes", "path", "version")
-        self.commit(stay.union(sizes.select("shard", "rows", "bytes", F.lit(path).alias("path"), F.lit(version).cast("long").alias("version"))), version)
+        to = plan.select(F.col("shard").alias(shard), (F.col("output") + F.lit(base)).alias(free_name("__to", [*schema.names, shard, size])))
+        moved = self._read(live.join(plan, "shard", "left_semi"), schema).join(to, shard).drop(shard).withColumnRenamed(to.columns[1], shard)
+        merged = self._write(moved.select(*(F.col(f"`{c}`") for c in [*schema.names, size, shard])).repartition(outputs, F.col(shard)), shard, size, version)
+        self.commit(live.join(plan, "shard", "left_anti").select("shard", "rows", "bytes", "path", "version").union(merged), version, schema)
         return version
 
     def compacted(self, rounds: int = 16) -> int:
@@ -129,28 +172,32 @@ class ShardStore:
                 break
         return self.versions()[-1]
 
-    def rows(self, version: int | None = None, raw: bool = False) -> DataFrame:
+    def _read(self, live: DataFrame, schema: StructType) -> DataFrame:
+        """Rows of the shards given, with their number and bytes; the files are listed, as Spark lists those of any table."""
+        shard, size = self._own(schema)
+        whole = StructType(list(schema.fields)).add(size, "long").add(shard, "long")
+        files = [r[0] for r in live.select("path").distinct().collect()]
+        if not files:
+            return self.spark.createDataFrame([], whole)
+        # a file may hold shards that were merged since
+        return self.spark.read.schema(whole).parquet(*files).join(live.select(F.col("shard").alias(shard)), shard, "left_semi")
+
+    def rows(self, version: int | None = None) -> DataFrame:
         """Rows of a version's live shards, with their shard's number."""
-        live = self.manifest(version)
-        paths = [r[0] for r in live.select("path").distinct().collect()]  # one for each write that still has live shards
-        if not paths:
-            raise ValueError("the store is empty")
-        found = None
-        for p in paths:
-            one = self.spark.read.parquet(p).withColumn("__path", F.lit(p)).withColumn("__shard", F.col("__shard").cast("long"))
-            found = one if found is None else found.unionByName(one)
-        shards = live.select(F.col("shard").alias("__shard"), F.col("path").alias("__path"))
-        kept = found.join(shards, ["__shard", "__path"], "left_semi").drop("__path")
-        return kept if raw else kept.drop("__bytes").withColumnRenamed("__shard", "shard")
+        schema = self._schema(version)
+        shard, size = self._own(schema)
+        return self._read(self.manifest(version), schema).select(*(F.col(f"`{c}`") for c in schema.names), F.col(shard).alias(free_name("shard", schema.names)))
 
     def expire(self, keep: int = 1) -> int:
         """Forget all but the last versions and delete data that none of those names; for use while no one reads older ones."""
         old = self.versions()[:-keep]
         for v in old:
-            self.fs.delete(self._path(f"{self.folder}/manifest/v{v:08d}"), True)
+            manifest = self._told(v)["manifest"]
+            self.fs.delete(self._path(f"{self.folder}/manifest/v{v:08d}"), False)
+            self.fs.delete(self._path(manifest), True)
         named = set()
         for v in self.versions():
-            named |= {r[0].rsplit("/", 1)[1] for r in self.manifest(v).select("path").distinct().collect()}
+            named |= {r[0].rsplit("/", 2)[1] for r in self.manifest(v).select("path").distinct().collect()}
         root = self._path(f"{self.folder}/data")
         for s in self.fs.listStatus(root) if self.fs.exists(root) else []:
             if s.getPath().getName() not in named:
@@ -162,7 +209,7 @@ def compacted_store(docs: DataFrame, arrivals: int = 4, **settings) -> ShardStor
     """A store fed with the rows in several arrivals, compacted after each second one, with its last version kept."""
     store = ShardStore(docs.sparkSession, **settings)
     for k in range(arrivals):
-        store.append(docs.where(F.pmod(F.xxhash64(F.lit(17), store.key), F.lit(arrivals)) == k))
+        store.append(docs.where(F.pmod(F.xxhash64(F.lit(17), F.col(f"`{store.key}`")), F.lit(arrivals)) == k))
         if k % 2 or k == arrivals - 1:
             store.compacted()
             store.expire()

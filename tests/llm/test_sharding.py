@@ -37,6 +37,40 @@ def test_merged_shards_reach_the_target(spark):
 def test_edges(spark, edges, nothing):
     assert compacted_store(edges).rows().count() == len(EDGES)
     store = ShardStore(spark)
+    assert store.rows().count() == 0
     assert store.append(nothing.select("doc_id", "text")) == 1 and store.manifest().count() == 0 and store.compact() is None
+    assert store.rows().columns == ["doc_id", "text", "shard"] and store.rows().count() == 0
+    assert compacted_store(nothing).rows().columns == [*nothing.columns, "shard"]
     with pytest.raises(ValueError):
-        store.rows()
+        store.append(nothing.select("text", "doc_id"))
+
+
+def test_columns_of_any_name_are_carried(spark):
+    names = ["doc_id", "text", "output", "shard", "__shard", "__bytes", "__path", "__to", "rows", "bytes", "path", "tier", "a.b"]
+    docs = spark.createDataFrame([(k, "t" * k, *range(100 + k, 110 + k), f"x{k}") for k in range(60)], ", ".join(f"`{n}` {'string' if n in ('text', 'a.b') else 'long'}" for n in names))
+    store = compacted_store(docs, small=100, target=700, fan=2)
+    rows = store.rows()
+    assert rows.columns == [*names, "shard_"] and store.versions()[-1] > 4
+    assert sorted(tuple(r)[:-1] for r in rows.collect()) == sorted(map(tuple, docs.collect()))
+    again = ShardStore(spark, store.folder)  # what a reader needs stands in the folder
+    assert again.rows().columns == rows.columns and again.rows().count() == 60
+    numbers = {r.shard: r["rows"] for r in store.manifest().collect()}
+    assert {r.shard_: r["count"] for r in rows.groupBy("shard_").count().collect()} == numbers
+
+
+def test_a_pointer_without_content_is_no_version(spark, edges):
+    store = ShardStore(spark)
+    store.append(edges.select("doc_id", "text"))
+    store.fs.create(store._path(f"{store.folder}/manifest/v00000002"), False).close()  # its writer stopped here
+    assert store.versions() == [1] and store.rows().count() == len(EDGES)
+    assert store.append(edges.select("doc_id", "text")) == 3 and store.rows().count() == 2 * len(EDGES)
+
+
+def test_an_arrival_takes_no_shuffle_and_a_merge_as_many_tasks_as_outputs(spark):
+    store = ShardStore(spark, small=1000, target=8000, fan=4)
+    docs = spark.range(0, 400, 1, 40).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), 100).alias("text"))
+    store.append(docs)
+    assert store.manifest().count() == 40 and store.manifest().select("path").distinct().count() == 40
+    store.compacted()
+    live = store.manifest().collect()
+    assert sum(r.bytes for r in live) == 40_000 and max(r.bytes for r in live) <= 9000 and len(live) <= 6
