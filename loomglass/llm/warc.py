@@ -11,8 +11,10 @@ the smallest page_id is the response, the others revisit it. Which payload
 has copies is decided on digests alone; the lookup is salted, so that a
 payload shared by a third of all pages spreads over tasks.
 
-Reading: the index rows wanted are sorted by file and offset, neighbouring
-records are read by one range request (gaps up to GAP bytes are read over,
+Reading: the index rows wanted are dealt out by file and stretch of PART bytes
+of it (less, if that gives fewer stretches than the cluster has cores), so a
+task reads about as many bytes however large the archives are. Each task sorts
+its rows by offset, neighbouring records are read by one range request (gaps up to GAP bytes are read over,
 ranges end at RANGE bytes), and each record's payload is checked against its
 digest.
 
@@ -34,7 +36,8 @@ from pyspark.sql import DataFrame, functions as F
 from .common import configure, fresh_path, settled
 
 SMALL, SALTS = 100, 64
-GAP, RANGE = 64 << 10, 8 << 20
+GAP, RANGE, PART = 64 << 10, 8 << 20, 128 << 20
+LEAST_PART = 1 << 20
 #: Fixed values of the WARC 1.1 format.
 VERSION, PROFILE = "WARC/1.1", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -165,5 +168,11 @@ def read_back(index: DataFrame, payloads: bool = True) -> DataFrame:
         if stream is not None:
             stream.close()
 
-    wanted = index.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
-    return wanted.mapInArrow(run, RECORD)
+    cores = index.sparkSession.sparkContext.defaultParallelism
+    total = index.agg(F.sum("length")).first()[0] or 0
+    part = max(LEAST_PART, min(PART, total // (2 * cores)))
+    wanted = index.select("file", "offset", "length", F.floor(F.col("offset") / part).alias("stretch"))
+    stretches = wanted.groupBy("file").agg(F.count_distinct("stretch").alias("n")).agg(F.sum("n")).first()[0] or 1
+    # as many tasks as stretches: the rows of an index are small, so Spark would gather them into few
+    dealt = wanted.repartitionByRange(stretches, "file", "stretch").sortWithinPartitions("file", "offset")
+    return dealt.select("file", "offset", "length").mapInArrow(run, RECORD)

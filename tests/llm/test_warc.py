@@ -51,3 +51,16 @@ def test_a_task_of_several_partitions_writes_a_file_for_each(spark):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert index.select("file").distinct().count() > 16
     assert sorted(r.page_id for r in warc.read_back(index).collect()) == list(range(200))
+
+
+def test_tasks_read_as_many_bytes_however_large_the_archives_are(spark, monkeypatch):
+    r = __import__("random").Random(1)
+    rows = [(k, "u", "".join(map(chr, r.choices(range(97, 123), k=4000)))) for k in range(300)]
+    index = warc.written(frame(spark, rows))
+    monkeypatch.setattr(warc, "LEAST_PART", 1 << 16)
+    monkeypatch.setattr(warc, "PART", 1 << 17)
+    back = warc.read_back(index)
+    total = index.agg({"length": "sum"}).first()[0]
+    tasks = [len(p) for p in back.rdd.glom().collect() if p]
+    assert len(tasks) >= total // (1 << 17) and max(tasks) <= 4 * sum(tasks) / len(tasks)
+    assert sorted(x.page_id for x in back.collect()) == list(range(300))
