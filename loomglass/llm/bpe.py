@@ -12,12 +12,17 @@ base symbol. The gadget of merge (a, b) -> ab
 The accepted token sequences are exactly the canonical encodings, one for
 each string. Written out, states times symbols would be 2.4e9 arcs for a
 vocabulary of 49k, so a state is stored as what its gadget did (whom it
-copied, when, and which arcs were cut) and rows of the transition table are
-filled in as they are first used.
-
-Encoding walks a pre-split word once; at each end position exactly one token
-has a live arc from the state reached at its start. Decoding emits the label
-of each arc.
+copied, when, and which arcs were cut). Whether a state has an arc is derived
+from that when it is first asked for and kept in a table of at most ARCS
+entries a generation (two generations, the older one is dropped).
+
+Next to it stands the spelling table: the vocabulary's labels as a trie with
+failure links, which after each symbol of a word gives the labels that end
+there. Encoding takes one step of that table for each symbol and never goes
+back: beginnings of a canonical encoding are canonical, so at each place
+exactly one of the labels that end there has a live arc from the state that
+was reached where it begins. That is the state reached here. The encoding is
+read off from the word's end. Decoding emits the label of each arc.
 
 Results: null and empty texts have no ids and decode to ''. Strings of special
 tokens become their ids wherever they stand in the raw text. Repeated rows get
@@ -39,23 +44,23 @@ from tokenizers import Tokenizer
 from .carry import carried
 from .common import configure
 
+ARCS = 1 << 19
+
+
 class MergeAutomaton:
     """A BPE vocabulary and merge list compiled as the module describes."""
 
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], suffix: str = ""):
-        self.vocab, self.suffix = vocab, suffix
+        self.suffix = suffix
         self.labels = {i: t for t, i in vocab.items()}
-        self.reach: dict[str, int] = {}  # by three symbols, the longest label that begins with them
-        for t in vocab:
-            body = t.removesuffix(suffix) if suffix else t
-            if len(body) >= 3:
-                self.reach[body[:3]] = max(self.reach.get(body[:3], 0), len(body))
-        n = max(vocab.values()) + 1
+        self.n = n = max(vocab.values()) + 1
         self.left, self.right, self.born = [-1] * n, [-1] * n, [-1] * n
         self.cut: dict[tuple[int, int], int] = {}
-        self.rows: dict[tuple[int, int], bool] = {}
+        self.arcs: dict[int, bool] = {}  # by state * n + symbol
+        self.older: dict[int, bool] = {}
         for rank, (a, b) in enumerate(merges):
             self._gadget(rank, vocab[a], vocab[b], vocab[a + b])
+        self._spell(vocab)
 
     def _gadget(self, rank: int, a: int, b: int, ab: int) -> None:
         if self.born[ab] >= 0:  # the label exists; its states stay as they are
@@ -63,12 +68,54 @@ class MergeAutomaton:
         self.left[ab], self.right[ab], self.born[ab] = a, b, rank
         self.cut.setdefault((a, b), rank)
 
+    def _spell(self, vocab: dict[str, int]) -> None:
+        """The spelling table: next node by symbol, failure link, and the (token, symbols) that end at each node, longest first."""
+        self.next: list[dict[str, int]] = [{}]
+        own: list[int] = [-1]
+        depth = [0]
+        for label, token in vocab.items():
+            node = 0
+            for symbol in self.symbols(label):
+                to = self.next[node].get(symbol)
+                if to is None:
+                    to = self.next[node][symbol] = len(self.next)
+                    self.next.append({})
+                    own.append(-1)
+                    depth.append(depth[node] + 1)
+                node = to
+            own[node] = token
+        self.fail = [0] * len(self.next)
+        self.ends: list[tuple[tuple[int, int], ...]] = [()] * len(self.next)
+        queue = [0]
+        for node in queue:  # by depth
+            for symbol, to in self.next[node].items():
+                if node:
+                    back = self.fail[node]
+                    while back and symbol not in self.next[back]:
+                        back = self.fail[back]
+                    self.fail[to] = self.next[back].get(symbol, 0)
+                rest = self.ends[self.fail[to]]
+                self.ends[to] = ((own[to], depth[to]), *rest) if own[to] >= 0 else rest
+                queue.append(to)
+
+    def symbols(self, label: str) -> list[str]:
+        """A label's or word's base symbols: its characters, the last one with the suffix if the label ends a word."""
+        if self.suffix and label.endswith(self.suffix):
+            body = label.removesuffix(self.suffix)
+            return [*body[:-1], body[-1:] + self.suffix]
+        return list(label)
+
     def arc(self, state: int, symbol: int) -> bool:
         """Does the state that `state` leads to have an arc for `symbol`?"""
-        key = (state, symbol)
-        known = self.rows.get(key)
+        key = state * self.n + symbol
+        known = self.arcs.get(key)
         if known is None:
-            known = self.rows[key] = self._derive(state, symbol)
+            known = self.older.get(key)
+            if known is None:
+                known = self._derive(state, symbol)
+            if len(self.arcs) >= ARCS:
+                self.older, self.arcs = self.arcs, {}
+            self.arcs[key] = known
         return known
 
     def _derive(self, x: int, y: int) -> bool:
@@ -91,44 +138,41 @@ class MergeAutomaton:
                 x = self.right[x]
 
     def encode(self, word: str) -> list[int]:
-        """Ids of one word, written in byte names: the one path from the start whose labels spell the word.
-
-        Live arcs are followed longest label first; a state at a place that
-        turned out to lead nowhere is not entered again.
-        """
-        n, vocab, rows, suffix = len(word), self.vocab, self.rows, self.suffix
-        if not n:
+        """Ids of one word, written in byte names: one step of the spelling table for each symbol, then the path read off from the end."""
+        if not word:
             return []
-        ids: list[int] = []
-        reach = self.reach
-        at, size, dead = [0], [min(n, reach.get(word[:3], 2))], set()
-        while True:
-            i, k = at[-1], size[-1]
-            x = ids[-1] if ids else -1
-            while k:
-                y = vocab.get(word[i : i + k] + suffix if i + k == n else word[i : i + k])
-                if y is not None and (i + k, y) not in dead:
-                    if x < 0:
-                        break
-                    live = rows.get((x, y))
-                    if live is None:
-                        live = self.arc(x, y)
-                    if live:
+        nexts, fail, ends, arcs, n = self.next, self.fail, self.ends, self.arcs, self.n
+        taken = [(-1, 0)]  # the arc by which each place was reached, and its symbols
+        node, at = 0, 0
+        for symbol in (*word[:-1], word[-1] + self.suffix):
+            at += 1
+            while symbol not in nexts[node]:
+                if not node:
+                    raise KeyError(f"no label begins with {symbol!r}")
+                node = fail[node]
+            node = nexts[node][symbol]
+            for step in ends[node]:
+                y, size = step
+                x = taken[at - size][0]
+                if x < 0:
+                    if size == at:
                         break
-                k -= 1
-            if not k:
-                dead.add((i, x))
-                at.pop()
-                size.pop()
-                ids.pop()
-                continue
-            size[-1] = k - 1
+                    continue
+                live = arcs.get(x * n + y)
+                if live is None:
+                    live = self.arc(x, y)
+                    arcs = self.arcs
+                if live:
+                    break
+            else:
+                raise ValueError("the merges are not those of one canonical encoding")
+            taken.append(step)
+        ids = []
+        while at:
+            y, size = taken[at]
             ids.append(y)
-            if i + k == n:
-                return ids
-            at.append(i + k)
-            i += k
-            size.append(min(n - i, reach.get(word[i : i + 3], 2)))
+            at -= size
+        return ids[::-1]
 
 
 class WordTokenizer:

@@ -30,6 +30,27 @@ def test_equals_the_library(pair):
     assert [t for t in texts if not same(*pair, t)] == []
 
 
+def test_equals_the_library_on_mixed_scripts(pair):
+    r = random.Random(6)
+    kinds = ["".join(map(chr, range(0x20, 0x7F))), "".join(map(chr, range(0xA0, 0x100))), "漢字かなカナ한글中文大小", "e\u0301a\u0308o\u0327n\u0303\u200d\ufe0f", "АБВгдеѐ ΑΒΓαβγς", "\U0001f600\U0001f468\u200d\U0001f469 \u2028\u00a0", " \t\n"]
+    texts = ["".join(r.choice(r.choice(kinds)) for _ in range(r.randrange(1, 60))) for _ in range(6000)]
+    assert [t for t in texts if not same(*pair, t)] == []
+
+
+def test_arcs_are_bounded(pair, monkeypatch):
+    library, own = pair
+    r = random.Random(2)
+    texts = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randrange(3, 30))) for _ in range(1500)]
+    monkeypatch.setattr(bpe, "ARCS", 500)
+    kept = own.automaton.arcs, own.automaton.older, own.known, own.older
+    own.automaton.arcs, own.automaton.older, own.known, own.older = {}, {}, {}, {}
+    try:
+        assert [t for t in texts if not same(library, own, t)] == []
+        assert 0 < len(own.automaton.arcs) <= 500 and len(own.automaton.older) <= 500
+    finally:
+        own.automaton.arcs, own.automaton.older, own.known, own.older = kept
+
+
 def test_small_automaton_equals_merging():
     """Every string over three symbols, against merging by rank."""
     merges = [("a", "a"), ("b", "c"), ("aa", "b"), ("a", "bc"), ("aa", "aa"), ("c", "a")]
