@@ -8,10 +8,15 @@ shares as prior, gives prediction and score.
 
 Piece probabilities are fitted by expectation-maximisation (the backward
 algorithm gives expected piece counts) on at most DOCS_PER_LANGUAGE labelled
-documents a language, those with the smallest hashes of their ids; the shares
-of languages are counted over all labelled rows.
-
-Letters are lower-cased; pieces of more than LONGEST bytes or with inner white
+documents a language, those with the smallest hashes of their ids among the
+ones of at most DOC_BYTES (longer ones, at most LONG_DOCS a language, only where
+there are fewer short ones than that); the shares of languages are counted over all
+labelled rows. Since hashes are uniform, rows are first cut to twice the
+number wanted by a bound on the hash that follows from the language's count;
+only what is left is ranked, so no task gets all rows of a frequent language.
+
+Letters of any script are lower-cased if that keeps their length in UTF-8, in
+texts and pieces alike; pieces of more than LONGEST bytes or with inner white
 space are left out; bytes that no piece covers have a small fixed probability.
 
 Results: texts that are null or have no letter are 'und' with score 0. Without
@@ -27,7 +32,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .carry import carried
 from .common import BY_SPACE, LOWER, U64, Words, configure, mixed, spans_of, text_map
 
-DOCS_PER_LANGUAGE, ROUNDS, LONGEST = 400, 4, 12
+DOCS_PER_LANGUAGE, DOC_BYTES, LONG_DOCS, ROUNDS, LONGEST = 400, 1 << 16, 8, 4, 12
 #: Rows that may be broadcast to mark the sample.
 SAMPLE_ROWS = 1_000_000
 MARK = 1  # byte that stands for the word start in place of the vocabulary's sign
@@ -38,12 +43,35 @@ RESCALED = 16  # bytes after which expected counts are rescaled, at least LONGES
 FIT_BYTES = 1 << 18  # of words in one lattice while fitting; a longer word is a lattice of its own
 
 
+@functools.lru_cache(1)
+def _lower_points() -> np.ndarray:
+    """Lower case of every code point below 0x20000 that keeps its length in UTF-8, else the point itself."""
+    out = np.arange(0x20000, dtype=np.uint32)
+    for p in range(0x80, 0x20000):
+        low = chr(p).lower()
+        if len(low) == 1 and low != chr(p) and not 0xD800 <= p < 0xE000 and len(low.encode()) == len(chr(p).encode()):
+            out[p] = ord(low)
+    return out
+
+
 def lowered(data: np.ndarray) -> np.ndarray:
-    """Lower case for ASCII and Latin-1 letters in UTF-8."""
+    """Lower case of UTF-8, byte for byte."""
     out = LOWER[data]
-    lead = np.flatnonzero(data[:-1] == 0xC3) + 1
-    up = lead[(data[lead] >= 0x80) & (data[lead] <= 0x9E) & (data[lead] != 0x97)]
-    out[up] += 32
+    top = int(data.max()) if len(data) else 0
+    for size, first, last in ((2, 0xC2, 0xDF), (3, 0xE0, 0xEF), (4, 0xF0, 0xF0)):
+        if top < first:
+            break
+        lead = np.flatnonzero((data >= first) & (data <= last))
+        point = data[lead].astype(np.uint32) & (0x7F >> size)
+        for k in range(1, size):
+            point = point << 6 | data[lead + k] & 0x3F
+        low = _lower_points()[np.minimum(point, 0x1FFFF)]
+        at = np.flatnonzero((low != point) & (point < 0x20000))
+        lead, low = lead[at], low[at]
+        for k in range(size - 1, 0, -1):
+            out[lead + k] = low & 0x3F | 0x80
+            low = low >> 6
+        out[lead] = low | (0x100 - (0x100 >> size))
     return out
 
 
@@ -56,9 +84,9 @@ def vocabulary(path: str) -> list[bytes]:
     out = set()
     for i in range(sp.get_piece_size()):
         if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)):
-            piece = sp.id_to_piece(i).lower().replace("▁", chr(MARK))
-            if chr(MARK) not in piece[1:] and len(piece.encode()) <= LONGEST:
-                out.add(piece.encode())
+            piece = lowered(np.frombuffer(sp.id_to_piece(i).replace("▁", chr(MARK)).encode(), np.uint8)).tobytes()
+            if MARK not in piece[1:] and len(piece) <= LONGEST:
+                out.add(piece)
     return sorted(out)
 
 
@@ -288,9 +316,13 @@ def fit_languages(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str
     if not share:
         return None
     per = max(1, min(per_language, SAMPLE_ROWS // len(share)))
-    rank = F.row_number().over(Window.partitionBy("l").orderBy(F.xxhash64("id"), "id"))
-    sample = known.select(F.col(doc_id).alias("id"), F.col(lang).alias("l")).withColumn("r", rank).where(F.col("r") <= per).select("id", "l").distinct()
-    taken = known.select(F.col(doc_id).alias("id"), F.col(lang).alias("l"), F.col(text).alias("text")).join(F.broadcast(sample), ["id", "l"])
+    bounds = [(x, 2**63 - 1 if n <= 2 * per else int(2**64 * min(1.0, 2 * per / n)) - 2**63) for x, n in share.items()]
+    bound = docs.sparkSession.createDataFrame(bounds, f"l {dict(docs.dtypes)[lang]}, bound long")
+    rank = F.row_number().over(Window.partitionBy("l").orderBy("long", "h", "id"))
+    sized = known.select(F.col(doc_id).alias("id"), F.col(lang).alias("l"), F.col(text).alias("text"), F.xxhash64(doc_id).alias("h"), (F.octet_length(text) > DOC_BYTES).alias("long"))
+    few = sized.drop("text").join(F.broadcast(bound), "l").where("h <= bound").select("l", "long", "h", "id").distinct()
+    sample = few.withColumn("r", rank).where(f"r <= {per} and (not long or r <= {LONG_DOCS})").select("id", "l", "long")
+    taken = sized.drop("h").join(F.broadcast(sample), ["id", "l", "long"])
 
     def kernel(batch, data, offs):
         low = lowered(data)
