@@ -13,9 +13,13 @@ global order. Three orders are used, each a random permutation of its own:
 3. Survivors are verified on the whole sets.
 
 How frequent tokens are is counted over all documents, for the tokens that the
-permutation puts first (a SHARE of all, from which prefixes are taken while
-they last), then once more for the tokens that prefixes came to hold. It is
-kept in bitmaps of fixed size. Any bitmap gives a global order, so they touch
+permutation puts first (a SHARE of all, three times what a prefix takes, so
+prefixes are made of counted tokens but in very small sets). Tokens met once
+come first, those met seldom next, frequent ones after them and the ones not
+counted last. What was counted is kept in bitmaps of BITS_PER_KEY bits a key,
+as large as the counts ask for and of MOST_BITS at most; where there are more
+keys than that, only the more frequent ones are kept (the bound on the count
+is raised in powers of two). Any bitmap gives a global order, so they touch
 speed only.
 
 Only connectivity is asked for, so a pair whose nodes are known to be connected
@@ -27,17 +31,18 @@ the reference is what at least two of three central members hold. Let d be the
 size of such a difference. Nodes x and y are similar if their differences
 differ in at most D = (|x| + |y|) (1 - t) / (1 + t) elements, so
 
-* if d_x + d_y <= D they are similar, and both are, by the same sum, similar to
-  the node of the other's size with the smallest d, as these two nodes are to
-  one another: links to such nodes alone connect them;
+* if d_x + d_y <= D they are similar. With s_z = |z| (1 - t) / (1 + t) - d_z
+  that is s_x + s_y >= 0. So both are, by the same sum, similar to the node
+  with the largest s: links to this one node connect them all;
 * else they share at least (d_x + d_y - D) / 2 elements of their differences,
   and prefix filters apply again: D/2 + 1 elements of the smaller difference
   against D + 1 of the larger one, less where the sizes of both ask for more
   overlap, added elements before lacking ones. Among copies with edits, edits
   are rare where the text they share is not.
 
-Buckets that come out large again are rewritten for another reference, REBASES
-times; what is left then is enumerated, so no link is lost.
+Buckets that come out large again are rewritten for another reference, which
+takes away what most of their nodes share; what is left after REBASES rounds
+is enumerated, so no link is lost.
 
 Results: null and empty texts have an empty set and link with nothing; repeated
 rows share their component; rows with a null id get a null component_id unless
@@ -54,27 +59,32 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .common import BY_SPACE, DOC_BITS, U64, Bitmap, Words, arrow_rows, components, configure, distinct_tokens, dropped, ids_of, mixed, release, sequence_hash, settled, text_map
 
 N, NUMERATOR, DENOMINATOR = 3, 90, 100
-BUCKET, SHARE, PER_ROW, REBASES = 16, 0.2, 64, 4
+BUCKET, SHARE, PER_ROW, REBASES = 16, 0.3, 64, 12
+BITS_PER_KEY, LEAST_BITS, MOST_BITS = 8, 1 << 18, 1 << 29
 SEEDS = (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0x9B05688C2B3E6C1F)
 WIDTH = 64 - DOC_BITS
 
 
 class Rarity:
-    """Classes of tokens under the first order: 0 first and met once, 1 first and met seldom, 2 not counted, 3 frequent."""
+    """Classes of tokens under the first order: 0 counted and met once, 1 seldom, 2 often, 3 not counted."""
 
     def __init__(self, twice: Bitmap | None = None, often: Bitmap | None = None):
         self.twice, self.often = twice, often
 
     def classes(self, token: np.ndarray, key: np.ndarray) -> np.ndarray:
-        out = np.full(len(token), 2, U64)
+        out = np.full(len(token), 3, U64)
         if self.twice is None:
             return out
         first = np.flatnonzero(key < U64(int(SHARE * 2**64)))
-        out[first] = self.twice.has(token[first])
-        out[self.often.has(token)] = 3
+        out[first] = np.where(self.often.has(token[first]), 2, self.twice.has(token[first]))
         return out
 
 
+def fitted_bits(keys: int) -> int:
+    """log2 of the bits that a bitmap of so many keys gets."""
+    return max(LEAST_BITS, min(MOST_BITS, BITS_PER_KEY * keys)).bit_length() - 1
+
+
 def shingle_sets(data: np.ndarray, offs: np.ndarray, n: int = N) -> tuple[np.ndarray, np.ndarray]:
     """(sorted distinct tokens of all documents one after another, bounds of each document's)."""
     w = Words(data, offs, BY_SPACE)
@@ -105,12 +115,15 @@ def prefixes(token: np.ndarray, bound: np.ndarray, seed: int, rarity: Rarity | N
     return token[order[keep]], np.concatenate(([0], np.cumsum(take)))
 
 
-def _signatures(token: np.ndarray, bound: np.ndarray) -> np.ndarray:
-    """One 64-bit name for each set; 0 for the empty one."""
-    one, two = (np.concatenate((np.zeros(1, U64), np.cumsum(mixed(token ^ U64(s))))) for s in (0xA54FF53A5F1D36F1, 0x510E527FADE682D1))
+def _signatures(token: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit names for each set; 0 and 0 for the empty one."""
     n = np.diff(bound)
-    name = mixed(one[bound[1:]] - one[bound[:-1]] + mixed(two[bound[1:]] - two[bound[:-1]] + n.astype(U64)))
-    return np.where(n > 0, np.where(name == 0, U64(1), name), U64(0))
+    names = []
+    for s in (0xA54FF53A5F1D36F1, 0x510E527FADE682D1):
+        total = np.concatenate((np.zeros(1, U64), np.cumsum(mixed(token ^ U64(s)))))
+        name = mixed(total[bound[1:]] - total[bound[:-1]] + n.astype(U64))
+        names.append(np.where(n > 0, np.where(name == 0, U64(1), name), U64(0)))
+    return names[0], names[1]
 
 
 def _cut(values: np.ndarray, bound: np.ndarray) -> pa.Array:
@@ -129,50 +142,47 @@ class NgramJoin:
         self.n, self.num, self.den, self.bucket = n, num, den, bucket
 
     def rarity(self):
-        """Counts of tokens over all documents, as the bitmaps of an order; broadcast, as their size is fixed."""
-        n, num, den = self.n, self.num, self.den
+        """Counts of tokens over all documents, as the bitmaps of an order; broadcast, as their size is bounded."""
+        n = self.n
 
-        def counted(chosen) -> DataFrame:
-            def kernel(batch, data, offs):
-                token, bound = shingle_sets(data, offs, n)
-                _, first = np.unique(_signatures(token, bound), return_index=True)  # copies within the chunk count once
-                once = np.zeros(len(offs) - 1, bool)
-                once[first] = True
-                token, count = np.unique(chosen(token[np.repeat(once, np.diff(bound))], bound, once, token), return_counts=True)
-                return {"token": ids_of(token), "count": count.astype(np.int64)}
-
-            rows = text_map(self.docs, [], "text", "token long, count long", kernel)
-            return rows.groupBy("token").agg(F.sum("count").alias("m")).where("m > 1")
-
-        def early(own, bound, once, token):
-            return own[mixed(own ^ U64(SEEDS[0])) < U64(int(SHARE * 2**64))]
-
-        first = settled(counted(early), "counts")
-        order = Rarity(Bitmap(first, "token", 24, WIDTH), Bitmap(first.where(F.col("m") > self.bucket), "token", 22, WIDTH))
-        shared = self.spark.sparkContext.broadcast(order)  # of fixed size
-
-        def held(own, bound, once, token):
-            cut = prefixes(token, bound, SEEDS[0], shared.value, num, den)
-            return cut[0][np.repeat(once, np.diff(cut[1]))]
-
-        again = settled(counted(held).where(F.col("m") > self.bucket), "counts")
-        out = Rarity(order.twice, Bitmap(first.where(F.col("m") > self.bucket).select("token").union(again.select("token")), "token", 22, WIDTH))
-        dropped(self.spark, first, again)
-        shared.destroy()
+        def kernel(batch, data, offs):
+            token, bound = shingle_sets(data, offs, n)
+            _, first = np.unique(_signatures(token, bound)[0], return_index=True)  # copies within the chunk count once
+            once = np.zeros(len(offs) - 1, bool)
+            once[first] = True
+            token = token[np.repeat(once, np.diff(bound))]
+            token, count = np.unique(token[mixed(token ^ U64(SEEDS[0])) < U64(int(SHARE * 2**64))], return_counts=True)
+            return {"token": ids_of(token), "count": count.astype(np.int64)}
+
+        rows = text_map(self.docs, [], "text", "token long, count long", kernel)
+        counts = settled(rows.groupBy("token").agg(F.sum("count").alias("m")).where("m > 1"), "counts")
+        classes = {r.p: r.c for r in counts.groupBy(F.floor(F.log2("m")).cast("int").alias("p")).agg(F.count("*").alias("c")).collect()}  # 63 rows at most
+        bitmaps = []
+        for least in (2, self.bucket + 1):
+            inside = lambda m: sum(c for p, c in classes.items() if 2 << p > m)  # noqa: E731  tokens with a count of m or more, or a few more
+            while BITS_PER_KEY * inside(least) > MOST_BITS:
+                least *= 2
+            bitmaps.append(Bitmap(counts.where(F.col("m") >= least), "token", fitted_bits(inside(least)), WIDTH))
+        dropped(self.spark, counts)
         release(self.spark)
-        return self.spark.sparkContext.broadcast(out)
+        return self.spark.sparkContext.broadcast(Rarity(*bitmaps))
 
     def nodes(self, rarity) -> tuple[DataFrame, DataFrame]:
-        """(id, n, node of every row; node, n, prefix and whether each of its tokens is frequent, of every distinct set)."""
+        """(id, n, one, two of every row; node, one, two, n, prefix of every distinct set). A node is a number; one and two name its set."""
         n, num, den = self.n, self.num, self.den
 
         def kernel(batch, data, offs):
             h, bound = shingle_sets(data, offs, n)
             tokens, cut = prefixes(h, bound, SEEDS[0], rarity.value, num, den)
-            return {"id": batch.column("id"), "n": np.diff(bound).astype(np.int64), "node": ids_of(_signatures(h, bound)), "prefix": _cut(tokens, cut)}
+            one, two = _signatures(h, bound)
+            return {"id": batch.column("id"), "n": np.diff(bound).astype(np.int64), "one": ids_of(one), "two": ids_of(two), "prefix": _cut(tokens, cut)}
 
-        rows = settled(text_map(self.docs, ["id"], "text", f"id {self.id_type}, n long, node long, prefix binary", kernel), "sets")
-        return rows, rows.where("node != 0").groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+        wide = settled(text_map(self.docs, ["id"], "text", f"id {self.id_type}, n long, one long, two long, prefix binary", kernel), "wide")
+        distinct = wide.where("n > 0").groupBy("one", "two").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+        nodes = settled(distinct.withColumn("node", F.monotonically_increasing_id()), "nodes")  # short numbers make small shuffles
+        rows = settled(wide.select("id", "n", "one", "two"), "rows")
+        dropped(self.spark, wide)
+        return rows, nodes
 
     def candidates(self, nodes: DataFrame, rarity) -> tuple[DataFrame, DataFrame]:
         """(a, b) pairs of small buckets; (token, node, n) rows of large ones."""
@@ -183,12 +193,16 @@ class NgramJoin:
                 prefix = b.column("prefix").to_pylist()
                 size = np.array([len(p) // 8 for p in prefix], np.int64)
                 token = np.frombuffer(b"".join(prefix), U64)
-                frequent = rarity.value.often.has(token)
+                rank = rarity.value.classes(token, mixed(token ^ U64(SEEDS[0])))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids_of(token)), pa.array(np.repeat(b.column("node").to_numpy(), size)), pa.array(np.repeat(b.column("n").to_numpy(), size)), pa.array(frequent)], ["token", "node", "n", "hot"]
+                    [pa.array(ids_of(token)), pa.array(np.repeat(b.column("node").to_numpy(), size)), pa.array(np.repeat(b.column("n").to_numpy(), size)), pa.array(rank == 2), pa.array(rank == 3)], ["token", "node", "n", "hot", "late"]
                 )
 
-        rows = settled(nodes.mapInArrow(tokens, "token long, node long, n long, hot boolean"), "tokens")
+        rows = settled(nodes.select("node", "n", "prefix").mapInArrow(tokens, "token long, node long, n long, hot boolean, late boolean"), "tokens")
+        # tokens that were not counted are in few prefixes; the frequent ones among them are counted now
+        late = settled(rows.where("late").groupBy("token").agg(F.count("*").alias("m")).where(F.col("m") > bucket).select("token", F.lit(True).alias("many")), "late")
+        if not late.isEmpty():
+            rows = rows.where("not late").withColumn("many", F.lit(False)).unionByName(rows.where("late").join(late, "token", "left")).withColumn("hot", F.col("hot") | F.coalesce("many", F.lit(False))).drop("many")
 
         def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             """Sorted rows in; a row for each bucket of 2 to `bucket` nodes, or for each row of a larger one."""
@@ -239,7 +253,7 @@ class NgramJoin:
         pairs = small.select(pair.alias("p")).select("p.*").where(f"x * {den} >= y * {num}").select("a", "b").distinct()
         large = met.where("nodes is null").select("token", "node", "n").union(rows.where("hot").select("token", "node", "n"))
         out = settled(pairs, "pairs"), settled(self.once(large), "large")
-        dropped(self.spark, rows, met)
+        dropped(self.spark, rows, met, late)
         release(self.spark)
         return out
 
@@ -249,25 +263,26 @@ class NgramJoin:
         seen = large.groupBy("token").agg(F.count("*").alias("m"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x")).where("m > 1")
         return large.join(seen.groupBy("m", "s", "x").agg(F.min("token").alias("token")).select("token"), "token")
 
-    def sets(self, pairs: DataFrame, large: DataFrame) -> DataFrame:
+    def sets(self, pairs: DataFrame, large: DataFrame, nodes: DataFrame) -> DataFrame:
         """(node, prefixes under the second and third order, whole set) of every node that is in a candidate pair or large bucket."""
         n, num, den = self.n, self.num, self.den
-        asked = settled(pairs.select(F.explode(F.array("a", "b")).alias("node")).union(large.select("node")).distinct(), "asked")
-        wanted = Bitmap(asked, "node", 22)
+        met = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(large.select("node")).distinct()
+        asked = settled(nodes.select("node", "one", "two").join(met, "node", "left_semi"), "asked")
+        wanted = Bitmap(asked, "one", fitted_bits(asked.count()))
 
         def kernel(batch, data, offs):
             token, bound = shingle_sets(data, offs, n)
-            name = _signatures(token, bound)
-            keep = np.flatnonzero(wanted.has(name) & (name != 0))
-            keep = keep[np.unique(name[keep], return_index=True)[1]]
+            one, other = _signatures(token, bound)
+            keep = np.flatnonzero(wanted.has(one) & (one != 0))
+            keep = keep[np.unique(np.stack([one[keep], other[keep]], 1), axis=0, return_index=True)[1]]
             two, cut2 = prefixes(token, bound, SEEDS[1], None, num, den)
             three, cut3 = prefixes(token, bound, SEEDS[2], None, num, den)
             # equal tokens have equal lower halves, so filters on those lose nothing
             columns = {"second": _cut(two.astype(np.uint32), cut2), "third": _cut(three.astype(np.uint32), cut3), "whole": _cut(token, bound)}
-            return {"node": ids_of(name[keep])} | {k: v.take(pa.array(keep)) for k, v in columns.items()}
+            return {"one": ids_of(one[keep]), "two": ids_of(other[keep])} | {k: v.take(pa.array(keep)) for k, v in columns.items()}
 
-        raw = text_map(self.docs, [], "text", "node long, second binary, third binary, whole binary", kernel)
-        out = settled(raw.join(asked, "node", "left_semi").dropDuplicates(["node"]), "sets")
+        raw = text_map(self.docs, [], "text", "one long, two long, second binary, third binary, whole binary", kernel)
+        out = settled(raw.join(asked, ["one", "two"]).drop("one", "two").dropDuplicates(["node"]), "sets")
         dropped(self.spark, asked)
         release(self.spark)
         return out
@@ -355,8 +370,9 @@ class NgramJoin:
             ready = group.join(sets.select("node", "whole"), "node").join(base, "pivot")
             rows = settled(ready.mapInArrow(differences, "pivot long, element long, node long, n long, d long, role int, place int"), "differences")
             near = rows.where("role = 0").select("pivot", "node", "n", "d")
-            by_size = near.groupBy("pivot", F.col("n").alias("nr")).agg(F.min(F.struct("d", "node")).alias("r")).select("pivot", "nr", F.col("r.d").alias("dr"), F.col("r.node").alias("rep"))
-            sure = near.join(by_size, "pivot").where(f"node != rep and (d + dr) * {den + num} <= (n + nr) * {den - num}")
+            slack = f"n * {den - num} - d * {den + num}"
+            best = near.groupBy("pivot").agg(F.max(F.struct(F.expr(slack).alias("s"), F.col("node").alias("rep"))).alias("r")).select("pivot", "r.s", "r.rep")
+            sure = near.join(best, "pivot").where(f"node != rep and s + {slack} >= 0")
             sure = settled(sure.select(F.least("node", "rep").alias("a"), F.greatest("node", "rep").alias("b")).distinct(), "sure")
             links = sure if links is None else links.union(sure)
             met = rows.where("role > 0").groupBy("pivot", "element").agg(F.count_if(F.col("role") == 1).alias("s"), F.count_if(F.col("role") == 2).alias("l")).where("s > 0 and l > 1")
@@ -393,13 +409,16 @@ class NgramJoin:
         rarity = self.rarity()
         rows, nodes = self.nodes(rarity)
         pairs, large = self.candidates(nodes, rarity)
-        comp = self.connected(pairs, large, self.sets(pairs, large), rarity)
-        named = rows.where("node != 0").groupBy("node").agg(F.min("id").alias("low"))
-        named = named.join(comp, "node", "left").select("node", "low", F.coalesce("component", "node").alias("component"))
+        sets = self.sets(pairs, large, nodes)
+        comp = self.connected(pairs, large, sets, rarity)
+        dropped(self.spark, pairs, large, sets)
+        low = rows.where("n > 0").groupBy("one", "two").agg(F.min("id").alias("low"))
+        named = low.join(nodes.select("one", "two", "node"), ["one", "two"]).join(comp, "node", "left").select("one", "two", "low", F.coalesce("component", "node").alias("component"))
         named = settled(named, "named")
+        dropped(self.spark, nodes, comp)
         lowest = named.groupBy("component").agg(F.min("low").alias("component_id"))
-        by_node = named.join(lowest, "component").select("node", "component_id")
-        return rows.select("id", "n", "node").join(by_node, "node", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("node") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+        by_node = named.join(lowest, "component").select("one", "two", "component_id")
+        return rows.join(by_node, ["one", "two"], "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:

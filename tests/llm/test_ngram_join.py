@@ -57,3 +57,25 @@ def test_prefixes_of_similar_sets_meet_under_every_order():
                 t, cut = ngram_join.prefixes(token, bound, seed, None, 90, 100)
                 assert set(t[: cut[1]].tolist()) & set(t[cut[1] :].tolist())
     assert ngram_join.prefix_length(np.array([0, 1, 5, 10, 300]), 90, 100).tolist() == [0, 1, 1, 2, 31]
+
+
+def test_small_bitmaps_and_uncounted_tokens_change_no_group(spark, monkeypatch):
+    r = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(400)]
+    text = lambda n: [r.choice(vocabulary) for _ in range(n)]
+    line, rows = text(9), []
+    for _ in range(50):  # short texts that share a line, and copies with a changed word
+        rows.append(" ".join(line + text(2)))
+        body = text(60)
+        rows += [" ".join(body), " ".join(body[:30] + ["changed"] + body[31:])]
+    rows = [(k, t) for k, t in enumerate(rows)]
+    want = ngram_groups(rows)
+    for most, share in ((1 << 30, 0.3), (1 << 8, 0.3), (1 << 12, 0.01)):
+        monkeypatch.setattr(ngram_join, "MOST_BITS", most)
+        monkeypatch.setattr(ngram_join, "LEAST_BITS", 1 << 8)
+        monkeypatch.setattr(ngram_join, "SHARE", share)
+        assert result(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)) == want
+
+
+def test_bitmaps_grow_with_their_keys_up_to_a_bound():
+    assert [ngram_join.fitted_bits(n) for n in (0, 1 << 20, 1 << 40)] == [18, 23, 29]
