@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import contextlib
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -43,9 +44,11 @@ def configure(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see. Only where the session names none (tests in one process) is one made."""
+    """The folder all executors see. Only a session of one process that names none (as in tests) gets one made; a cluster must name it."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="loomglass-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")

@@ -14,8 +14,9 @@ What a model's span needs is a digit, an "@" or an "at" in brackets, so windows
 that hold none of them, nor a "dot" in brackets, are taken as all-outside and
 are not run through the network.
 
-The model is trained in numpy on at most TRAIN_DOCS documents whose base spans
-are the labels, partly respelt in ways the rules don't match.
+The model is trained in numpy on at most TRAIN_DOCS documents of at most
+TRAIN_BYTES whose base spans are the labels, partly respelt in ways the rules
+don't match, and on made-up spans (MADE_UP of each kind) put into their texts.
 
 Results: null and empty texts have no spans; offsets are code points, end
 exclusive; repeated rows get equal results.
@@ -31,7 +32,8 @@ from .carry import carried
 from .common import configure
 
 KINDS = ("email", "ip", "card", "phone")
-TRAIN_DOCS, TRAIN_STEPS, TRAIN_BATCH = 500, 220, 48
+TRAIN_DOCS, TRAIN_BYTES, TRAIN_STEPS, TRAIN_BATCH = 500, 1 << 16, 450, 64
+MADE_UP = (500, 120, 120, 300)  # made-up spans of each kind, an address has the most spellings
 WIDTH, STRIDE = 96, 64
 HIDDEN, EMBED = 16, 10
 N_LABELS = 1 + 2 * len(KINDS)
@@ -343,7 +345,9 @@ def _respelt(r: np.random.Generator, kind: int, span: str) -> str:
     digits = _DIGITS.sub("", span)
     mark = str(r.choice([".", "/", " - ", "_", " . "]))
     if kind == 0:
-        return span.replace("@", str(r.choice([" @ ", " (at) ", "[at]", " @"]))).replace(".", str(r.choice([".", ".", " [dot] "]))) if r.random() < 0.9 else span
+        local, _, domain = span.partition("@")
+        dot = str(r.choice([".", ".", " [dot] ", " (dot) ", "[dot]", "(dot)", "{dot}"]))
+        return (local if r.random() < 0.8 else local.replace(".", dot)) + str(r.choice([" @ ", " (at) ", "(at)", "[at]", " [at] ", "{at}", " @"])) + domain.replace(".", dot)
     if kind == 1:
         return span.replace(".", str(r.choice([" . ", "-", ":", ". "])))
     if kind == 2:
@@ -387,7 +391,7 @@ def training_windows(texts: list[str], seed: int = 5) -> tuple[np.ndarray, np.nd
             plain.append(t)
     plain = plain or ["word " * 60]
     for k in range(len(KINDS)):
-        for _ in range(max(0, 150 - count[k])):
+        for _ in range(max(MADE_UP[k] // 2, MADE_UP[k] - count[k])):
             t = str(plain[int(r.integers(len(plain)))])
             at = int(r.integers(60, max(61, len(t) - 80)))
             add(t[max(0, at - 60) : at] + " ", _respelt(r, k, _made_up(r, k)), k, " " + t[at : at + WIDTH])
@@ -402,7 +406,9 @@ def training_windows(texts: list[str], seed: int = 5) -> tuple[np.ndarray, np.nd
 def _made_up(r: np.random.Generator, kind: int) -> str:
     letters, digits = list("abcdefghijklmnopqrstuvwxyz"), "".join(map(str, r.integers(0, 10, 16)))
     if kind == 0:
-        return f"{''.join(r.choice(letters, 6))}.{digits[:2]}@{''.join(r.choice(letters, 5))}.com"
+        first, last, host = ("".join(r.choice(letters, int(r.integers(2, 10)))) for _ in range(3))
+        local = first + str(r.choice(["", ".", "_", "-", "."])) + (last if r.random() < 0.8 else digits[:2])
+        return f"{local}@{host}.{r.choice(['com', 'org', 'net', 'de', 'fr', 'es', 'io', 'co.uk'])}"
     if kind == 1:
         return ".".join(map(str, r.integers(1, 256, 4)))
     if kind == 2:
@@ -411,8 +417,8 @@ def _made_up(r: np.random.Generator, kind: int) -> str:
 
 
 def fit_tagger(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", train_docs: int = TRAIN_DOCS) -> SpanTagger:
-    """Train on the at most train_docs documents with a digit or "@" whose ids have the smallest hashes."""
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).where(F.col("t").rlike("[0-9@]") & F.col("id").isNotNull())
+    """Train on the at most train_docs documents with a digit or "@" of at most TRAIN_BYTES whose ids have the smallest hashes."""
+    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).where(F.col("t").rlike("[0-9@]") & F.col("id").isNotNull() & (F.octet_length("t") <= TRAIN_BYTES))
     # ids first, so that no task sends texts for the choice; the marked rows are train_docs ids, so they may be broadcast
     chosen = rows.select("id", F.xxhash64("id").alias("h"), F.xxhash64("t").alias("k")).orderBy("h", "id", "k").limit(train_docs).select("id", "k").distinct()
     marked = rows.withColumn("k", F.xxhash64("t")).join(F.broadcast(chosen), ["id", "k"]).dropDuplicates(["id", "k"])
