@@ -43,11 +43,8 @@ TITLE_WORTH = {"jsonld-name": 2.0, "jsonld-headline": 1.0, "og": 1.0, "twitter":
 SITE_MARKS = (" - ", " | ", " – ", " — ", " :: ", " » ", " • ")
 CONTAINERS = frozenset("div section td blockquote form".split())
 BLOCKS = frozenset("article section div main td blockquote pre form body".split())
-# Texts that are navigation on their own.
-JUNK_TEXTS = frozenset(
-    ["read more", "read this", "continue reading", "learn more", "more info", "next", "previous", "prev", "home", "menu", "search", "share this", "subscribe", "sign up",
-     "log in", "advertisement", "sponsored", "click here", "download", "follow us", "related articles", "comments"]
-)
+#: Texts that are navigation on their own.
+JUNK_TEXTS = frozenset("skip to content|back to top|show more|see also|print|copy link|close|accept all|loading|go to page".split("|"))
 
 
 @dataclass

@@ -243,11 +243,11 @@ class _Xml:
     def _tag(self, name: str, attrs: dict) -> str:
         return name + "".join(f' {k}="{self._safe(v)}"' for k, v in attrs.items() if v)
 
-    def leaf(self, name: str, text: str = "", **attrs: str) -> None:
+    def leaf(self, name: str, text: str = "", /, **attrs: str) -> None:
         attrs = {k.replace("__", ":"): v for k, v in attrs.items()}
         self.lines.append(f"{'  ' * self.depth}<{self._tag(name, attrs)}>{self._safe(text)}</{name}>")
 
-    def some(self, name: str, text: str, **attrs: str) -> None:
+    def some(self, name: str, text: str, /, **attrs: str) -> None:
         if text:
             self.leaf(name, text, **attrs)
 
