@@ -14,14 +14,14 @@ from loomglass.streaming import state
 
 ITEM = "link string, title string, author string, date timestamp, image string, summary string, guid string, source_ord int, pos int"
 FIXED = [
-    ("https://kontan.co.id/news/2026/9/26/245189/harga-emas-naik", "Harga emas naik", "2026-09-26"), ("https://kontan.co.id/news/2026/9/25/245100/rupiah-melemah", "Rupiah melemah", "2026-09-25"),
-    ("https://surabaya.kompas.com/baca/2026/09/24/500/manifesto", "Manifesto kota", "2026-09-24"), ("https://www.bbc.com/mundo/articles/cqkgwx3zed53o", "Mundo article", "2026-09-20"), ("https://kontan.co.id/tag/uang", "Tag uang", None),
+    ("https://quaylight.co.id/log/2027/3/14/88/old-crane-sold", "Old crane sold", "2027-03-14"), ("https://quaylight.co.id/log/2027/3/13/87/weir-closed", "Weir closed", "2027-03-13"),
+    ("https://north.tidepost.com/watch/2027/03/12/500/storm", "Storm over town", "2027-03-12"), ("https://www.lampwick.com/isla/notes/zz4k0p9x", "Isla note", "2027-03-08"), ("https://quaylight.co.id/shelf/rope", "Rope shelf", None),
 ]
 
 
 @pytest.fixture(scope="module")
 def five(spark):
-    rows = [(link, title, None, datetime.fromisoformat(day) if day else None, None, "Ringkasan " + title, None, 0, k) for k, (link, title, day) in enumerate(FIXED)]
+    rows = [(link, title, None, datetime.fromisoformat(day) if day else None, None, "About " + title, None, 0, k) for k, (link, title, day) in enumerate(FIXED)]
     return spark.createDataFrame(rows, ITEM)
 
 
@@ -30,20 +30,20 @@ def kept(five, **fields):
 
 
 @pytest.mark.parametrize("fields, left", [
-    ({}, [0, 1, 2, 3, 4]), ({"url_contains": ("KONTAN.co.id",)}, [0, 1, 4]), ({"url_contains": (" ",)}, []), ({"url_not_contains": ("tag", "")}, [0, 1, 2, 3]), ({"uri_matches": (r"/\d{4}/",)}, [0, 1, 2]),
-    ({"text_contains": ("rupiah",)}, [1]), ({"text_not_contains": ("uang",)}, [0, 1, 2, 3]), ({"domain": ("kompas.com",)}, [2]), ({"date_after": "2026-09-24", "date_before": "25 September 2026"}, [1, 2]),
+    ({}, [0, 1, 2, 3, 4]), ({"url_contains": ("QUAYLIGHT.co.id",)}, [0, 1, 4]), ({"url_contains": (" ",)}, []), ({"url_not_contains": ("shelf", "")}, [0, 1, 2, 3]), ({"uri_matches": (r"/\d{4}/",)}, [0, 1, 2]),
+    ({"text_contains": ("weir",)}, [1]), ({"text_not_contains": ("rope",)}, [0, 1, 2, 3]), ({"domain": ("tidepost.com",)}, [2]), ({"date_after": "2027-03-12", "date_before": "13 March 2027"}, [1, 2]),
 ])
 def test_rules(five, fields, left):
     assert kept(five, **fields) == left
 
 
 def test_drop_reasons_are_the_first(five):
-    r = Rules(url_contains=("kontan",), date_after="2026-09-26")
+    r = Rules(url_contains=("quaylight",), date_after="2027-03-14")
     assert {x.drop_reason: x.dropped for x in rules.drop_counts(five, r).collect()} == {"url_contains": 2, "date": 2}
 
 
 def test_bad_rules():
-    for fields in ({"uri_matches": ("(",)}, {"uri_matches": ("(?=x)",)}, {"date_after": "05-09-2026"}):
+    for fields in ({"uri_matches": ("(",)}, {"uri_matches": ("(?=x)",)}, {"date_after": "04-11-2027"}):
         with pytest.raises(FieldError):
             Rules(**fields).checked()
 
@@ -59,7 +59,7 @@ def test_first_wins_and_caps(spark, five):
 
 def test_entries(five):
     e = items.entries(items.distinct_links(five), "stable", 9).orderBy("pos").collect()
-    assert e[0].guid.startswith("sha256:") and len(e[0].guid) == 27 and e[0].entry_summary == "Ringkasan…"
+    assert e[0].guid.startswith("sha256:") and len(e[0].guid) == 27 and e[0].entry_summary == "About Old…"
     assert items.default_description("e.example", 1) == "1 item from e.example."
 
 
@@ -91,9 +91,9 @@ def test_catalogue(spark):
 
 def test_sites(spark, tmp_path):
     (tmp_path / "e.example.yml").write_text("item: .card\nstrip: [.ad]\n")
-    (tmp_path / "all.yaml").write_text("- host: '*.kompas.com'\n  item: [.w]\n- host: '*'\n  item: [.g]\n")
+    (tmp_path / "all.yaml").write_text("- host: '*.tidepost.com'\n  item: [.w]\n- host: '*'\n  item: [.g]\n")
     t = sites_table(spark, load_sites(str(tmp_path)))
-    p = spark.createDataFrame([(1, "https://www.e.example/x"), (2, "https://a.kompas.com/"), (3, "https://kompas.com/"), (4, None)], "page_id int, url string")
+    p = spark.createDataFrame([(1, "https://www.e.example/x"), (2, "https://a.tidepost.com/"), (3, "https://tidepost.com/"), (4, None)], "page_id int, url string")
     assert {r.page_id: r.item for r in sites.with_site(p, t, take=["item"]).collect()} == {1: [".card"], 2: [".w"], 3: [".g"], 4: [".g"]}
     (tmp_path / "bad.yml").write_text("- item: x\n")
     with pytest.raises(ValueError):
@@ -125,11 +125,11 @@ def test_page_then_feed_it_points_to(spark):
 
 
 def test_spec():
-    s = parse("url=https://e.example/x&max=10&url_contains[]=a&url_contains[2]=c&url_contains[1]=b&date_after=2026-09-26&fulltext=1&fulltext_max=5&id_or_class=card&html_cleanup=0")
+    s = parse("url=https://e.example/x&max=10&url_contains[]=a&url_contains[2]=c&url_contains[1]=b&date_after=2027-03-14&fulltext=1&fulltext_max=5&id_or_class=card&html_cleanup=0")
     assert s.rules.url_contains == ("a", "b", "c") and s.max_items == 5 and s.listing.item == (".card",) and not s.html_cleanup
     assert parse(s.canonical()) == parse(parse(s.canonical()).canonical()) and parse("url=https://e.example/x&format=rss&max=50").canonical() == "url=https%3A%2F%2Fe.example%2Fx"
     for bad, field in (("", "url"), ("url=ftp://x/", "url"), ("url=https://e.example/&max=0", "max"), ("url=https://e.example/&format=x", "format"), ("url=https://e.example/&guid=x", "guid"), ("url=https://e.example/&force_host=a/b", "force_host"),
-                       ("url=https://e.example/&date_after=05-09-2026", "date_after"), ("url=https://e.example/&keep_qs_params=a=b", "keep_qs_params"), ("url=https://e.example/&item=a&id_or_class=b", "id_or_class"), ("url=https://e.example/&ttl=x", "ttl")):
+                       ("url=https://e.example/&date_after=04-11-2027", "date_after"), ("url=https://e.example/&keep_qs_params=a=b", "keep_qs_params"), ("url=https://e.example/&item=a&id_or_class=b", "id_or_class"), ("url=https://e.example/&ttl=x", "ttl")):
         with pytest.raises(FieldError) as e:
             parse(bad)
         assert e.value.field == field
@@ -168,7 +168,7 @@ def test_render_and_etag(spark, five):
     rows = items.entries(items.distinct_links(five)).select(F.lit("k").alias("feed_key"), F.col("entry_title").alias("title"), "link", "guid", "published", F.col("date").alias("updated"), "author", F.col("entry_summary").alias("summary"), "content_html", "image", "source_ord", "pos")
     feed = writers.gathered(rows, ["feed_key"], ["source_ord", "pos"]).withColumn("title", F.lit("T")).withColumn("link", F.lit("https://t.example/"))
     body = writers.rendered(feed, "rss", datetime(2026, 1, 1)).first().body
-    assert body.count("<item>") == 5 and "Harga emas naik" in body
+    assert body.count("<item>") == 5 and "Old crane sold" in body
     assert writers.feed_json(feed).first().body.startswith('{"version"')
 
 
