@@ -19,6 +19,22 @@ def numbered(items: DataFrame, source_ord: int, order: list[str | Column]) -> Da
     return items.withColumn("source_ord", F.lit(source_ord)).withColumn("pos", (F.row_number().over(Window.orderBy(*order)) - 1).cast("int"))
 
 
+def numbered_in_parts(items: DataFrame, source_ord: int, order: list[str | Column], lead: Column, parts: int = 64) -> DataFrame:
+    """The same for a source of any size, by many tasks: lead is a number that rises with the order (null last).
+
+    Quantiles of lead cut the rows into parts, which are counted and numbered each on its own. Rows with one lead are
+    in one part.
+    """
+    led = items.withColumn("__lead", lead.cast("double"))
+    bounds = sorted(set(led.approxQuantile("__lead", [k / parts for k in range(1, parts)], 0.25 / parts)))  # parts numbers
+    part = F.when(F.col("__lead").isNull(), len(bounds) + 1).otherwise(sum((F.col("__lead") > b).cast("int") for b in bounds) if bounds else F.lit(0))
+    cut = led.withColumn("__part", part)
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
+    sizes = cut.groupBy("__part").agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    place = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1 + F.col("__before")
+    return cut.join(F.broadcast(sizes.select("__part", "__before")), "__part").withColumn("pos", place.cast("int")).withColumn("source_ord", F.lit(source_ord)).drop("__lead", "__part", "__before")
+
+
 def merged(*sources: DataFrame) -> DataFrame:
     """All items of all sources; a source's place is its source_ord."""
     out = sources[0].withColumn("source_ord", F.lit(0))

@@ -16,4 +16,4 @@ def histogram(df: DataFrame, value: str, labels: list[str], buckets: tuple[float
     under = [F.count_if(F.col(value) <= b).alias(f"b{k}") for k, b in enumerate(buckets)]
     wide = df.groupBy(*labels).agg(*under, F.count(value).alias("n"), F.sum(value).alias("s"))
     rows = [F.struct(F.lit(str(b)).alias("le"), F.col(f"b{k}").alias("cumulative")) for k, b in enumerate(buckets)] + [F.struct(F.lit("+Inf").alias("le"), F.col("n").alias("cumulative"))]
-    return wide.select(*labels, F.explode(F.array(*rows)).alias("r")).select(*labels, "r.le", "r.cumulative")
+    return wide.select(*labels, F.explode(F.array(*rows)).alias("r"), F.col("n").alias("count"), F.col("s").alias("sum")).select(*labels, "r.le", "r.cumulative", "count", "sum")
