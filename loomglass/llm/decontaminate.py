@@ -8,9 +8,9 @@ documents. The join looks each document shingle up among the prefix tokens,
 applies the bounds that position and length give (the window has to fit into
 the document around the shingle), and verifies the survivors word for word.
 
-The benchmark is read in blocks of at most BLOCK_BYTES of text; the index of
-one block is all that is ever broadcast. A benchmark of several blocks takes
-one pass over the documents for each.
+The benchmark is read in blocks of at most BLOCK_BYTES of text; one block is
+all that the driver holds and the index of one all that is ever broadcast. A
+benchmark of several blocks takes one pass over the documents for each.
 
 Results: a null text has no words; empty documents and items match nothing;
 repeated documents get equal rows; item ids compare as strings, a null id is
@@ -21,8 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .carry import carried
-from .common import BY_ALNUM, Words, configure, sequence_hash, settled, spans_of, text_map, utf8_view
+from .carry import carried, free_name
+from .common import BY_ALNUM, Words, configure, dropped, sequence_hash, settled, spans_of, text_map, utf8_view
 
 WINDOW, SHINGLE = 13, 5
 #: Benchmark text whose index may be broadcast at once.
@@ -145,8 +145,8 @@ def _blocks(benchmark: DataFrame, item: str, text: str, limit: int):
     for k in range(n):
         rows = benchmark.where(F.pmod(F.xxhash64(item, text), F.lit(n)) == k).select(F.coalesce(F.col(item).cast("string"), F.lit("null")), text).collect()
         rows = [r for r in rows if r[1]]
-        if rows:
-            yield [r[0] for r in rows], [r[1] for r in rows], k == n - 1
+        if rows or n == 1:
+            yield [r[0] for r in rows], [r[1] for r in rows]
 
 
 def contamination(
@@ -157,24 +157,29 @@ def contamination(
     spark = docs.sparkSession
     configure(spark)
     base, name, _ = carried(docs, keep, text, ["n_words", "n_hit", "items", "spans"])
-    state = base.select("*", F.lit(None).cast("binary").alias("__spans"), F.lit(None).cast("array<string>").alias("__items"))
-    indexes = [(ids, texts) for ids, texts, _ in _blocks(benchmark, item, item_text, block_bytes)] or [([], [])]
+    marks = free_name("__spans", base.columns), free_name("__items", base.columns)
+    state = base.select("*", F.lit(None).cast("binary").alias(marks[0]), F.lit(None).cast("array<string>").alias(marks[1]))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in state.schema)
-    for k, (ids, texts) in enumerate(indexes):
-        if k:  # a pass of its own for each further block: one index in memory at a time
-            state = settled(state.drop("n_words", "n_hit"), "decontaminate")
+    shared, done = None, None
+    for ids, texts in _blocks(benchmark, item, item_text, block_bytes):
+        if shared is not None:  # a pass of its own for each further block: one index in memory at a time
+            after = settled(state.drop("n_words", "n_hit"), "decontaminate")
+            shared.destroy()
+            if done is not None:
+                dropped(spark, done)
+            state = done = after
         index = Index(ids, texts, window, shingle)
         index.choose(_frequencies(docs, text, index) if index.sizes else {})
         shared = spark.sparkContext.broadcast(index)
-        state = state.mapInArrow(_pass(shared, name), f"{fields}, n_words long, n_hit long")
+        state = state.mapInArrow(_pass(shared, name, marks), f"{fields}, n_words long, n_hit long")
     spans = F.transform(
-        F.sequence(F.lit(0), (F.octet_length("__spans") / 16).cast("int") - 1),
-        lambda i: F.struct(*(F.conv(F.hex(F.substring(F.col("__spans"), i * 16 + 1 + o, F.lit(8))), 16, 10).cast("long").alias(n) for o, n in ((0, "start"), (8, "end")))),
+        F.sequence(F.lit(0), (F.octet_length(marks[0]) / 16).cast("int") - 1),
+        lambda i: F.struct(*(F.conv(F.hex(F.substring(F.col(marks[0]), i * 16 + 1 + o, F.lit(8))), 16, 10).cast("long").alias(n) for o, n in ((0, "start"), (8, "end")))),
     )
-    return state.select(*keep, "n_words", "n_hit", F.col("__items").alias("items"), F.when(F.octet_length("__spans") > 0, spans).otherwise(F.array().cast("array<struct<start:bigint,end:bigint>>")).alias("spans"))
+    return state.select(*keep, "n_words", "n_hit", F.col(marks[1]).alias("items"), F.when(F.octet_length(marks[0]) > 0, spans).otherwise(F.array().cast("array<struct<start:bigint,end:bigint>>")).alias("spans"))
 
 
-def _pass(shared, name: str):
+def _pass(shared, name: str, marks: tuple[str, str]):
     def run(batches):
         index: Index = shared.value
         for batch in batches:
@@ -189,10 +194,10 @@ def _pass(shared, name: str):
                 np.add.at(edge, start, 1)
                 np.add.at(edge, start + index.length[window] if len(start) else start, -1)
                 inside = np.cumsum(edge[:-1]) > 0
-                items: list[set] = [set(x or ()) for x in part.column("__items").to_pylist()]
+                items: list[set] = [set(x or ()) for x in part.column(marks[1]).to_pylist()]
                 for x, k in zip(w.doc[start].tolist(), window.tolist()):
                     items[x].update(index.owners[k])
-                before = part.column("__spans").to_pylist()
+                before = part.column(marks[0]).to_pylist()
                 spans, hits = [], []
                 for d in range(j - i):
                     here = inside[w.first[d] : w.first[d + 1]]
@@ -203,7 +208,7 @@ def _pass(shared, name: str):
                     turn = np.flatnonzero(np.diff(np.concatenate(([0], here.view(np.int8), [0])))) if here.any() else np.zeros(0, np.int64)
                     spans.append(turn.astype(">i8").tobytes())
                     hits.append(int(here.sum()))
-                new = {"__spans": pa.array(spans, pa.binary()), "__items": pa.array([sorted(x) for x in items], pa.list_(pa.string()))}
+                new = {marks[0]: pa.array(spans, pa.binary()), marks[1]: pa.array([sorted(x) for x in items], pa.list_(pa.string()))}
                 columns = [new.get(c, part.column(m)) for m, c in enumerate(names)]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(n.astype(np.int64)), pa.array(hits, pa.int64())], [*names, "n_words", "n_hit"])
 

@@ -41,20 +41,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StructType
 
+from .carry import free_name
 from .common import configure, fresh_path
 
 SMALL_BYTES, TARGET_BYTES, FAN = 4 << 20, 64 << 20, 4
 MANIFEST = "shard long, rows long, bytes long, path string, version long"
 
 
-def free_name(name: str, columns: list[str]) -> str:
-    """The name with as many underscores after it as it takes to be no column's."""
-    taken = {c.lower() for c in columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
 class ShardStore:
     def __init__(self, spark: SparkSession, folder: str | None = None, text: str = "text", key: str = "doc_id", small: int = SMALL_BYTES, target: int = TARGET_BYTES, fan: int = FAN):
         self.spark, self.text, self.key = spark, text, key

@@ -23,3 +23,13 @@ def test_against_all_windows(spark, edges, nothing):
     assert got(edges, items, block_bytes=60) == want  # several blocks
     assert all(h == 0 for _, _, h, _ in got(edges, items.limit(0)))
     assert got(nothing, items) == []
+
+
+def test_columns_of_any_name_are_kept(spark):
+    names = ["doc_id", "text", "__text", "__spans", "__items", "__spans_"]
+    docs = spark.createDataFrame([(1, "two words here", "a", "b", "c", "d"), (2, None, "e", "f", "g", "h")], ", ".join(f"{n} {'long' if n == 'doc_id' else 'string'}" for n in names))
+    items = spark.createDataFrame([(1, "two words"), (2, "words here")], "item_id long, text string")
+    for keep in (names, [n for n in names if n != "text"]):
+        rows = decontaminate.contamination(docs, items, keep, block_bytes=9).orderBy("doc_id").collect()
+        assert [[r[n] for n in keep] for r in rows] == [[x[n] for n in keep] for x in docs.orderBy("doc_id").collect()]
+        assert [(r.n_words, r.n_hit, list(r["items"])) for r in rows] == [(3, 3, ["1", "2"]), (0, 0, [])]
