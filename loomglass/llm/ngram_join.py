@@ -13,10 +13,10 @@ global order. Three orders are used, each a random permutation of its own:
 3. Survivors are verified on the whole sets.
 
 How frequent tokens are is counted over all documents, for the tokens that the
-permutation puts first (a SHARE of all, three times what a prefix takes, so
-prefixes are made of counted tokens but in very small sets). Tokens met once
-come first, those met seldom next, frequent ones after them and the ones not
-counted last. What was counted is kept in bitmaps of BITS_PER_KEY bits a key,
+permutation puts first (a SHARE of all, twice what a prefix takes). Tokens met
+once come first, those met seldom next, then the ones not counted, and
+frequent ones last. Which of the tokens not counted are frequent is counted
+where prefixes hold them. What was counted is kept in bitmaps of BITS_PER_KEY bits a key,
 as large as the counts ask for and of MOST_BITS at most; where there are more
 keys than that, only the more frequent ones are kept (the bound on the count
 is raised in powers of two). Any bitmap gives a global order, so they touch
@@ -59,24 +59,24 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .common import BY_SPACE, DOC_BITS, U64, Bitmap, Words, arrow_rows, components, configure, distinct_tokens, dropped, ids_of, mixed, release, sequence_hash, settled, text_map
 
 N, NUMERATOR, DENOMINATOR = 3, 90, 100
-BUCKET, SHARE, PER_ROW, REBASES = 16, 0.3, 64, 12
+BUCKET, SHARE, PER_ROW, REBASES = 16, 0.2, 64, 12
 BITS_PER_KEY, LEAST_BITS, MOST_BITS = 8, 1 << 18, 1 << 29
 SEEDS = (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0x9B05688C2B3E6C1F)
 WIDTH = 64 - DOC_BITS
 
 
 class Rarity:
-    """Classes of tokens under the first order: 0 counted and met once, 1 seldom, 2 often, 3 not counted."""
+    """Classes of tokens under the first order: 0 counted and met once, 1 seldom, 2 not counted, 3 met often."""
 
     def __init__(self, twice: Bitmap | None = None, often: Bitmap | None = None):
         self.twice, self.often = twice, often
 
     def classes(self, token: np.ndarray, key: np.ndarray) -> np.ndarray:
-        out = np.full(len(token), 3, U64)
+        out = np.full(len(token), 2, U64)
         if self.twice is None:
             return out
         first = np.flatnonzero(key < U64(int(SHARE * 2**64)))
-        out[first] = np.where(self.often.has(token[first]), 2, self.twice.has(token[first]))
+        out[first] = np.where(self.often.has(token[first]), 3, self.twice.has(token[first]))
         return out
 
 
@@ -195,14 +195,14 @@ class NgramJoin:
                 token = np.frombuffer(b"".join(prefix), U64)
                 rank = rarity.value.classes(token, mixed(token ^ U64(SEEDS[0])))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids_of(token)), pa.array(np.repeat(b.column("node").to_numpy(), size)), pa.array(np.repeat(b.column("n").to_numpy(), size)), pa.array(rank == 2), pa.array(rank == 3)], ["token", "node", "n", "hot", "late"]
+                    [pa.array(ids_of(token)), pa.array(np.repeat(b.column("node").to_numpy(), size)), pa.array(np.repeat(b.column("n").to_numpy(), size)), pa.array(rank == 3), pa.array(rank == 2)], ["token", "node", "n", "hot", "late"]
                 )
 
         rows = settled(nodes.select("node", "n", "prefix").mapInArrow(tokens, "token long, node long, n long, hot boolean, late boolean"), "tokens")
-        # tokens that were not counted are in few prefixes; the frequent ones among them are counted now
-        late = settled(rows.where("late").groupBy("token").agg(F.count("*").alias("m")).where(F.col("m") > bucket).select("token", F.lit(True).alias("many")), "late")
-        if not late.isEmpty():
-            rows = rows.where("not late").withColumn("many", F.lit(False)).unionByName(rows.where("late").join(late, "token", "left")).withColumn("hot", F.col("hot") | F.coalesce("many", F.lit(False))).drop("many")
+        # frequent ones among the tokens that were not counted
+        plain, late = (rows.where(x).select("token", "node", "n") for x in ("not hot and not late", "late"))
+        many = settled(late.groupBy("token").agg(F.count("*").alias("m")).where(F.col("m") > bucket).select("token"), "late")
+        hot = rows.where("hot").select("token", "node", "n").union(late.join(many, "token", "left_semi"))
 
         def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             """Sorted rows in; a row for each bucket of 2 to `bucket` nodes, or for each row of a larger one."""
@@ -243,7 +243,7 @@ class NgramJoin:
                     ["token", "node", "n", "nodes", "sizes"],
                 )
 
-        cold = rows.where("not hot").select("token", "node", "n")
+        cold = plain.union(late.join(many, "token", "left_anti"))
         parted = cold.repartition("token").sortWithinPartitions("token", "node").mapInArrow(buckets, "token long, node long, n long, nodes array<long>, sizes array<long>")
         with arrow_rows(self.spark, 1 << 15):
             met = settled(parted, "buckets")
@@ -251,9 +251,9 @@ class NgramJoin:
         pair = F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.size("nodes") - 1), lambda i: F.transform(F.sequence(F.lit(0), i - 1), lambda j: F.struct(
             F.get("nodes", j).alias("a"), F.get("nodes", i).alias("b"), F.least(F.get("sizes", i), F.get("sizes", j)).alias("x"), F.greatest(F.get("sizes", i), F.get("sizes", j)).alias("y"))))))
         pairs = small.select(pair.alias("p")).select("p.*").where(f"x * {den} >= y * {num}").select("a", "b").distinct()
-        large = met.where("nodes is null").select("token", "node", "n").union(rows.where("hot").select("token", "node", "n"))
+        large = met.where("nodes is null").select("token", "node", "n").union(hot)
         out = settled(pairs, "pairs"), settled(self.once(large), "large")
-        dropped(self.spark, rows, met, late)
+        dropped(self.spark, rows, met, many)
         release(self.spark)
         return out
 
