@@ -6,7 +6,7 @@ from operator import and_, or_
 from pyspark.sql import Column, functions as F
 
 from ..kernels.text import CJK, SPACE
-from ..kernels.url import PATH_MONTHS, TRACKING_PARAMS
+from ..kernels.url import PATH_MONTHS, SUFFIXES, TRACKING_PARAMS
 
 
 def col(c: str | Column) -> Column:
@@ -54,6 +54,36 @@ def host(url: str | Column) -> Column:
     return filled(F.lower(F.regexp_replace(found, r"[\[\]]", "")))
 
 
+#: URLs that need no decoding: a lower-case host without user or port, unreserved signs in path, parameters and fragment.
+PLAIN_URL = r"^https?://[a-z0-9-]+(\.[a-z0-9-]+)*(/[A-Za-z0-9_.~/-]*)?(\?[A-Za-z0-9_.~-]+=[A-Za-z0-9_.~-]*(&[A-Za-z0-9_.~-]+=[A-Za-z0-9_.~-]*)*)?(#[A-Za-z0-9_.~-]*)?$"
+_ORIGIN, _REST = r"^(https?://[^/?#]+)", r"^https?://[^/?#]+"
+
+
+def is_plain_url(url: str | Column) -> Column:
+    """Whether the forms below may be used; null URLs are not plain."""
+    return F.coalesce(col(url).rlike(PLAIN_URL), F.lit(False))
+
+
+def plain_norm(url: str | Column) -> Column:
+    """The identity of a plain URL: no fragment, "/" for an empty path, parameters but those for tracking, by name."""
+    u = col(url)
+    pairs = F.transform(F.split(F.regexp_extract(u, r"\?([^#]*)", 1), "&"), lambda p, k: F.struct(F.substring_index(p, "=", 1).alias("name"), k.alias("k"), p.alias("pair")))
+    kept = F.transform(F.array_sort(F.filter(pairs, lambda p: (p["pair"] != "") & ~F.lower(p["name"]).isin(*sorted(TRACKING_PARAMS)))), lambda p: p["pair"])
+    where = F.regexp_extract(u, _REST + r"([^?#]*)", 1)
+    return F.concat(F.regexp_extract(u, _ORIGIN, 1), F.when(where == "", "/").otherwise(where), F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(""))
+
+
+def plain_site(url: str | Column) -> Column:
+    """The registrable domain of a plain URL's host; addresses and single labels as they are."""
+    h = F.regexp_extract(col(url), r"^https?://([^/?#]+)", 1)
+    two = F.substring_index(h, ".", -2)
+    return F.when(h.rlike(r"^[0-9.]+$"), h).when(two.isin(*sorted(SUFFIXES)), F.substring_index(h, ".", -3)).otherwise(two)
+
+
+def plain_path_key(url: str | Column) -> Column:
+    return F.concat(plain_site(url), F.lower(F.regexp_extract(col(url), _REST + r"([^?#]*)", 1)))
+
+
 def path(url: str | Column) -> Column:
     """Path of an absolute URL, '' without one."""
     return F.regexp_extract(col(url), r"^\s*[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)

@@ -7,11 +7,12 @@ from collections.abc import Callable
 from datetime import datetime
 
 import pandas as pd
-from pyspark.sql import SparkSession, types as T
+from pyspark.sql import SparkSession, functions as F, types as T
 from pyspark.sql.functions import pandas_udf, udtf
 
 from ..kernels import article, dates, dom, feeds, fetching, listing, news, robots, sanitize, text, url
 from ..shipping import ship
+from . import columns
 
 ITEM = "link string, title string, author string, date timestamp, image string, summary string, guid string"
 
@@ -92,6 +93,25 @@ discover_feed = each(listing.discovered_feed, "string", 2)
 sniff_feed = each(feeds.sniff, "string")
 
 
+def _or_kernel(url, plain: Callable, kernel: Callable):
+    """A URL function in the JVM for plain URLs; the kernel gets the others only."""
+    u = columns.col(url)
+    simple = columns.is_plain_url(u)
+    return F.when(simple, plain(u)).otherwise(kernel(F.when(~simple, u)))
+
+
+def norm_link(url):
+    return _or_kernel(url, columns.plain_norm, norm_url)
+
+
+def site(url):
+    return _or_kernel(url, columns.plain_site, site_of)
+
+
+def link_path_key(url):
+    return _or_kernel(url, columns.plain_path_key, path_key)
+
+
 def _item_rows(items: list[listing.Item]):
     for it in items:
         yield it.link, it.title, it.author, it.date, it.image, it.summary, it.guid

@@ -8,7 +8,7 @@ aggregate, so a key that a third of all items share costs one row a task.
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import entry_title, guid, norm_space, truncate
-from ..functions.udfs import fragment_text, norm_url, path_key, unwrap_link
+from ..functions.udfs import fragment_text, link_path_key, norm_link, unwrap_link
 
 ORDER = ("source_ord", "pos")
 DEFAULT_SUMMARY = 500
@@ -63,13 +63,13 @@ def unwrapped(items: DataFrame) -> DataFrame:
 
 def distinct_links(items: DataFrame) -> DataFrame:
     """First item of each document; items without link are one document, '/'."""
-    keyed = items.withColumn("norm_link", norm_url(F.coalesce("link", F.lit(""))))
+    keyed = items.withColumn("norm_link", norm_link(F.coalesce("link", F.lit(""))))
     return first_by(keyed, ["norm_link"])
 
 
 def distinct_paths(items: DataFrame) -> DataFrame:
     """First item of each site and path."""
-    return first_by(items.withColumn("path_key", path_key("link")), ["path_key"])
+    return first_by(items.withColumn("path_key", link_path_key("link")), ["path_key"])
 
 
 def capped(items: DataFrame, n: int, by: list[str] | None = None, order: tuple[str, ...] = ORDER) -> DataFrame:

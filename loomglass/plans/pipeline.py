@@ -9,7 +9,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.columns import norm_space
-from ..functions.udfs import discover_feed, norm_url
+from ..functions.udfs import discover_feed, norm_link
 from ..kernels.listing import ListOptions
 from ..kernels.url import hostname
 from ..operators import bodies as body_ops, items as item_ops
@@ -71,7 +71,7 @@ def dropped(spec: FeedSpec, items: DataFrame) -> DataFrame:
 
 def bodies(spec: FeedSpec, items: DataFrame, pages: DataFrame, site: dict | None = None, now: datetime | None = None) -> DataFrame:
     """(norm_link, content) of the items' pages that gave an article, without boilerplate."""
-    keyed = pages.select("url", F.col("body").cast("string").alias("body")).withColumn("norm_link", norm_url("url"))
+    keyed = pages.select("url", F.col("body").cast("string").alias("body")).withColumn("norm_link", norm_link("url"))
     asked = keyed.join(items.select("norm_link").distinct(), "norm_link", "left_semi")
     got = scans.articles(asked, html="body", keep=["norm_link"], prune=spec.html_cleanup, site=site, now=now).where("strategy != ''").select("norm_link", F.col("content_html").alias("content"))
     return body_ops.with_boilerplate(got, "content").where("not boilerplate").drop("boilerplate")

@@ -86,12 +86,12 @@ SHAPED = f"""shaped AS (SELECT page_id, url, {HOST} AS host, {SITE} AS site, {SE
 
 @query(f"SELECT page_id, {NORM} AS norm_link FROM pages")
 def url_normalize(spark, sf):
-    return table(spark, sf, "pages").select("page_id", udfs.norm_url("url").alias("norm_link"))
+    return table(spark, sf, "pages").select("page_id", udfs.norm_link("url").alias("norm_link"))
 
 
 @query(f"SELECT page_id, {HOST} AS host, {SITE} AS site FROM pages")
 def url_site_host(spark, sf):
-    return table(spark, sf, "pages").select("page_id", c.host("url").alias("host"), udfs.site_of("url").alias("site"))
+    return table(spark, sf, "pages").select("page_id", c.host("url").alias("host"), udfs.site("url").alias("site"))
 
 
 @query("""WITH q AS (SELECT page_id, regexp_extract(url, '^[^?#]*', 0) AS base, list_filter(string_split(regexp_extract(url, '^[^?#]*[?]([^#]*)', 1), '&'), lambda p: p <> '') AS p FROM pages),
@@ -106,7 +106,7 @@ def url_keep_params(spark, sf):
 @query(f"""WITH k AS (SELECT page_id, url, {SITE} || lower({PATH}) AS path_key FROM pages)
     SELECT path_key, min(page_id) AS page_id, arg_min(url, page_id) AS url FROM k GROUP BY path_key""")
 def url_path_key_dedupe(spark, sf):
-    p = table(spark, sf, "pages").withColumn("path_key", udfs.path_key("url"))
+    p = table(spark, sf, "pages").withColumn("path_key", udfs.link_path_key("url"))
     return items.first_by(p.select("path_key", "page_id", "url"), ["path_key"], ["page_id"])
 
 
@@ -139,7 +139,7 @@ def items_dedupe_first_wins(spark, sf):
     SELECT norm_link, CAST(source_ord AS INTEGER) AS source_ord, page_id, url FROM k WHERE rn = 1""")
 def merge_sources(spark, sf):
     p = table(spark, sf, "pages").select("page_id", "url")
-    both = items.merged(p.where("page_id % 2 = 0"), p.where("page_id % 2 <> 0"), p.where("page_id % 5 = 0")).withColumn("norm_link", udfs.norm_url("url"))
+    both = items.merged(p.where("page_id % 2 = 0"), p.where("page_id % 2 <> 0"), p.where("page_id % 5 = 0")).withColumn("norm_link", udfs.norm_link("url"))
     return items.first_by(both.select("norm_link", "source_ord", "page_id", "url"), ["norm_link"], ["source_ord", "page_id"])
 
 
@@ -516,7 +516,7 @@ def page_entries(spark, sf, spec=None):
         c.excerpt("article_text", 300).alias("summary"), F.lit(0).alias("source_ord"), F.col("page_id").cast("int").alias("pos"), "lang", "words",
     )
     kept = items.capped(rules.survivors(items.distinct_links(items.unwrapped(rows)), spec.rules), spec.max_items)
-    return spec_entries(spec, kept).withColumn("site", udfs.site_of("link"))
+    return spec_entries(spec, kept).withColumn("site", udfs.site("link"))
 
 
 DISTINCT_PAGES = f"""{PAGES}, one AS (SELECT min(page_id) AS page_id, {NORM} AS norm_link FROM pages GROUP BY 2),

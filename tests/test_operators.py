@@ -179,3 +179,20 @@ def test_streams(spark, tmp_path):
     assert state.drained(state.new_only(stream.select("k"), ["k"]), "once_each").count() == 2
     state.upserting(stream, str(tmp_path / "t"), ["k"], "v", str(tmp_path / "cp")).awaitTermination()
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "t/v00000000")).collect())) == [("a", 2), ("b", 3)]
+
+
+def test_url_functions_in_the_jvm_equal_the_kernels(spark):
+    import random
+
+    from loomglass.kernels import url
+
+    r = random.Random(7)
+    hosts = ["e.example", "www.a.co.uk", "co.uk", "10.0.0.1", "localhost", "N.Example", "u@e.example", "e.example:80", "a..b", "x-1.com.br"]
+    paths = ["", "/", "/a", "/A/b.html", "/a//b/", "/%41", "/ü", "/a b", "/.", "/a/../b", "/~x"]
+    queries = ["", "?", "?b=2&a=1", "?a=1&utm_source=x", "?utm_Medium=1", "?a=&a=0", "?a", "?a=1&&b", "?a=%20", "?x=1;y=2", "?fbclid=1&z=9&Z=1"]
+    ends = ["", "#", "#top", "#a/b", "#%"]
+    raw = [f"{r.choice(['http', 'https', 'HTTP', 'ftp'])}://{r.choice(hosts)}{r.choice(paths)}{r.choice(queries)}{r.choice(ends)}" for _ in range(3000)] + ["", "x", None, " https://e.example/ "]
+    rows = spark.createDataFrame([(u,) for u in raw], "u string").select("u", udfs.norm_link("u").alias("n"), udfs.site("u").alias("s"), udfs.link_path_key("u").alias("k"), c.is_plain_url("u").alias("plain")).collect()
+    for x in rows:
+        assert (x.n, x.s, x.k) == ((url.normalize(x.u), url.site(x.u), url.path_key(x.u)) if x.u is not None else (None, None, None)), x.u
+    assert 100 < sum(x.plain for x in rows) < len(rows)
