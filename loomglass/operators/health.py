@@ -14,22 +14,21 @@ def feed_health(builds: DataFrame, key: str = "feed_key", recent: int = RECENT)
 
     The streak is the failures before the first success, newest first, among
     the recent attempts; the gap is the mean time between consecutive
-    successes, of the recent ones, in whole milliseconds.
+    successes, of the recent ones, in whole milliseconds. Both work on the
+    newest rows of a key only, of which each task sends no more than that many.
     """
     newest = Window.partitionBy(key).orderBy(F.desc("built_at"), F.desc("id"))
     at = F.unix_seconds(F.col("built_at").cast("timestamp"))
-    # one shuffle: every window and the aggregate are partitioned by the key
-    seen = builds.select(key, "id", "built_at", "ok").select(
-        key, "built_at", "ok", at.alias("at"), F.row_number().over(newest).alias("rn"),
-        F.sum(F.col("ok").cast("int")).over(newest.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("oks"),
-        F.last(F.when(F.col("ok"), at), ignorenulls=True).over(newest.rowsBetween(Window.unboundedPreceding, -1)).alias("next_ok"),
-    )
-    here = F.col("rn") <= recent
-    gap = F.when(F.col("ok") & (F.col("oks") <= recent), F.col("next_ok") - F.col("at"))
-    out = seen.groupBy(key).agg(
-        F.count_if(here & (F.col("oks") == 0)).alias("failure_streak"), F.count_if(here).alias("total_recent"), F.max(F.when(here & F.col("ok"), F.col("built_at"))).alias("last_success"),
-        F.sum(gap).alias("s"), F.count(gap).alias("c"),
-    )
+    base = builds.select(key, "id", "built_at", "ok", at.alias("at"))
+
+    def top(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("rn", F.row_number().over(newest)).where(F.col("rn") <= recent)
+
+    oks = F.sum(F.col("ok").cast("int")).over(newest.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    seen = top(base).withColumn("oks", oks).groupBy(key).agg(F.count_if(F.col("oks") == 0).alias("failure_streak"), F.count("*").alias("total_recent"), F.max(F.when(F.col("ok"), F.col("built_at"))).alias("last_success"))
+    gap = F.lag("at").over(newest) - F.col("at")
+    gaps = top(base.where("ok")).withColumn("gap", gap).groupBy(key).agg(F.sum("gap").alias("s"), F.count("gap").alias("c"))
+    out = seen.join(gaps, key, "left")
     return out.select(key, "failure_streak", "total_recent", "last_success", F.when(F.col("c") > 0, F.expr("(s * 1000) div c")).otherwise(0).alias("avg_gap_ms"))
 
 

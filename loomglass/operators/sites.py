@@ -4,13 +4,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import host, path
 
-#: Rows of a dimension that may be broadcast.
-SMALL = 100_000
+#: Bytes of a dimension that may be broadcast.
+SMALL_BYTES = 32 << 20
 
 
 def small(df: DataFrame) -> DataFrame:
-    """A hint to broadcast, if a count shows that the table is small; else it is joined as any other."""
-    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
+    """A hint to broadcast, if the plan's statistics say that the table is small; else it is joined as any other."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return F.broadcast(df) if size <= SMALL_BYTES else df
 
 
 def host_suffixes(h: str | Column) -> Column:

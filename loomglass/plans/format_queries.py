@@ -6,7 +6,6 @@ values alone.
 """
 
 import re
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -457,7 +456,7 @@ def site_values_filled(spark, sf):
 @query("""SELECT user_id, event_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events) WHERE rn = 1""")
 def upsert_stream(spark, sf):
     """A stream upserted into a table of versions; its last version holds the last row of each key."""
-    folder = (spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/") + f"/upserts-{uuid.uuid4().hex}"
+    folder = state.shared_folder(spark, "upserts")
     state.upserting(_stream(spark, sf).select("user_id", "event_id", "ts"), f"{folder}/table", ["user_id"], "event_id", f"{folder}/progress").awaitTermination()
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/table")
     last = max(s.getPath().getName() for s in path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path))

@@ -1,6 +1,8 @@
 """Streams of items: seen-URL memory, upserts, failure rates over time."""
 
-from pyspark.sql import DataFrame, functions as F
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.items import first_by
@@ -41,13 +43,19 @@ def upserting(stream: DataFrame, path: str, key: list[str], order: str, checkpoi
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def drained(stream: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
-    """Run a stream over what is there now and return what it put out."""
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    if checkpoint:
-        writer = writer.option("checkpointLocation", checkpoint)
-    query = writer.start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the one that all executors share: spark.checkpoint.dir, else the warehouse."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def drained(stream: DataFrame, name: str, mode: str = "append", folder: str | None = None) -> DataFrame:
+    """Run a stream over what is there now and return what it put out, as a table in a shared folder with the stream's progress beside it."""
+    folder = folder or shared_folder(stream.sparkSession, name)
+    writer = stream.writeStream.queryName(name).outputMode(mode).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True)
+    if mode == "append":
+        query = writer.format("parquet").option("path", f"{folder}/rows").start()
+    else:  # each batch has the whole result
+        query = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{folder}/rows")).start()
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
