@@ -275,10 +275,10 @@ class Bitmap:
         self.shift, self.bits = width - bits, bits
         slot = f"shiftrightunsigned({column}, {self.shift})"
         rows = keys.select(F.expr(f"shiftright({slot}, 6)").alias("word"), F.expr(f"shiftleft(1L, cast({slot} & 63 as int))").alias("bit"))
-        words = rows.groupBy("word").agg(F.bit_or("bit").alias("v")).toPandas()
+        words = rows.groupBy("word").agg(F.bit_or("bit").alias("v")).toArrow()  # a row a word as Python objects would fill the driver
         table = np.zeros(max(1, (1 << bits) // 64), np.int64)
-        table[words["word"].to_numpy(np.int64)] = words["v"].to_numpy(np.int64)
-        self.table, self.size = table.view(U64), len(words)
+        table[words.column("word").to_numpy()] = words.column("v").to_numpy()
+        self.table, self.size = table.view(U64), words.num_rows
 
     def has(self, keys: np.ndarray) -> np.ndarray:
         slot = (keys >> U64(self.shift)).astype(np.int64)

@@ -17,7 +17,7 @@ permutation puts first (a SHARE of all, twice what a prefix takes). Tokens met
 once come first, those met seldom next, then the ones not counted, and
 frequent ones last. Which of the tokens not counted are frequent is counted
 where prefixes hold them. What was counted is kept in bitmaps of at least
-BITS_PER_KEY bits a key (a quarter of that for tokens met twice), as large as
+BITS_PER_KEY bits a key (an eighth of that for tokens met twice), as large as
 the counts ask for and of MOST_BITS at most; where there are more
 keys than that, only the more frequent ones are kept (the bound on the count
 is raised in powers of two). Any bitmap gives a global order, so they touch
@@ -61,7 +61,7 @@ from .common import BY_SPACE, DOC_BITS, U64, Bitmap, Words, arrow_rows, componen
 
 N, NUMERATOR, DENOMINATOR = 3, 90, 100
 BUCKET, SHARE, PER_ROW, REBASES = 16, 0.2, 64, 12
-BITS_PER_KEY, LEAST_BITS, MOST_BITS = 64, 1 << 18, 1 << 29
+BITS_PER_KEY, LEAST_BITS, MOST_BITS = 64, 1 << 18, 1 << 28
 SEEDS = (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0x9B05688C2B3E6C1F)
 WIDTH = 64 - DOC_BITS
 
@@ -159,7 +159,7 @@ class NgramJoin:
         counts = settled(rows.groupBy("token").agg(F.sum("count").alias("m")).where("m > 1"), "counts")
         classes = {r.p: r.c for r in counts.groupBy(F.floor(F.log2("m")).cast("int").alias("p")).agg(F.count("*").alias("c")).collect()}  # 63 rows at most
         bitmaps = []
-        for least, per_key in ((2, BITS_PER_KEY // 4), (self.bucket + 1, BITS_PER_KEY)):
+        for least, per_key in ((2, BITS_PER_KEY // 8), (self.bucket + 1, BITS_PER_KEY)):
             inside = lambda m: sum(c for p, c in classes.items() if 2 << p > m)  # noqa: E731  tokens with a count of m or more, or a few more
             while per_key * inside(least) > MOST_BITS:
                 least *= 2
