@@ -3,6 +3,7 @@
 Each distinct value of a batch is handled once. Nulls give nulls.
 """
 
+import gzip
 from collections.abc import Callable
 from datetime import datetime
 
@@ -22,7 +23,7 @@ def _plain(v):
 
 
 #: Types as objects: a type's name could only be read with a session at hand.
-TYPES = {"string": T.StringType(), "int": T.IntegerType(), "boolean": T.BooleanType(), "timestamp": T.TimestampType()}
+TYPES = {"string": T.StringType(), "int": T.IntegerType(), "boolean": T.BooleanType(), "timestamp": T.TimestampType(), "binary": T.BinaryType()}
 
 
 def each(fn: Callable, kind: str, arity: int = 1):
@@ -93,6 +94,10 @@ discover_feed = each(listing.discovered_feed, "string", 2)
 sniff_feed = each(feeds.sniff, "string")
 
 
+gzipped = each(lambda s: gzip.compress(s.encode(), 6, mtime=0), "binary")
+gunzipped = each(lambda b: gzip.decompress(bytes(b)).decode("utf-8", "replace"), "string")
+
+
 def _or_kernel(url, plain: Callable, kernel: Callable):
     """A URL function in the JVM for plain URLs; the kernel gets the others only."""
     u = columns.col(url)

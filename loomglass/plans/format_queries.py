@@ -12,9 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions import columns as c, udfs
 from ..kernels import dom, sanitize, selectors, text
 from ..kernels.listing import ListOptions
-from ..operators import bodies, catalog, items, sites
-from ..sources import pages as scans
+from ..operators import bodies, catalog, items, pacing, sites
+from ..sources import pages as scans, writers
 from ..streaming import state
+from . import settings
 from .queries import BUILDS, CLOCK, _stream, builds, query, table
 from .spec import FieldError, parse as parse_spec, self_link
 
@@ -22,7 +23,7 @@ RAW_TITLE = "regexp_extract(html, '<title>([^<]*)</title>', 1)"
 
 
 def unescaped(s: str) -> str:
-    return f"replace(replace(replace(replace(replace({s}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#x27;', ''''), '&amp;', '&')"
+    return f"regexp_replace(replace(replace(replace(replace({s}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#x27;', ''''), '&amp;?', '&', 'g')"  # a title may be cut before the semicolon
 
 
 def spaced(s: str) -> str:
@@ -182,14 +183,16 @@ ESSAY = (
     '<html lang="«lang»"><head><title>Essay «n» | Harbour Post</title><meta property="og:title" content="Essay «n»"><meta property="og:site_name" content="Harbour Post"><meta name="author" content=" Ida «n» ">'
     '<meta property="og:image" content="/i/«n».jpg?utm_source=x"><link rel="canonical" href="/c/«n»"><meta property="article:published_time" content="«at»"></head>'
 )
-LONG = f"length({PLAIN}) >= 200"
+#: The same without what sets blocks apart, as lengths are measured.
+TIGHT = r"trim(regexp_replace(replace(text, chr(10), ''), '\s+', ' ', 'g'))"
+LONG, LONG_SHARED = f"length({TIGHT}) >= 200", f"length(trim({TIGHT} || 'Share ' || doc_id)) >= 200"
 
 
 @query(f"""SELECT doc_id, 'Essay ' || doc_id AS title, 'Ida ' || doc_id AS byline, 'Harbour Post' AS site_name, lang, 'https://post.example/c/' || doc_id AS canonical,
-    CASE WHEN {LONG} THEN 'semantic' ELSE '' END AS strategy, CASE WHEN {LONG} THEN {PLAIN} END AS text_content, CASE WHEN {LONG} THEN 'https://post.example/i/' || doc_id || '.jpg' ELSE '/i/' || doc_id || '.jpg?utm_source=x' END AS image,
-    CASE WHEN {LONG} THEN CAST(len(regexp_extract_all({PLAIN}, '[^ \\t\\n\\r\\f\\v]+')) AS INTEGER) ELSE 0 END AS word_count,
-    CASE WHEN {LONG} THEN CASE WHEN length({PLAIN}) > 280 THEN trim(substr({PLAIN}, 1, 280)) || '…' ELSE {PLAIN} END END AS excerpt,
-    CASE WHEN doc_id % 7 <> 0 THEN TIMESTAMP '2023-04-05 06:07:08' WHEN NOT ({LONG}) THEN TIMESTAMP '2031-01-01' END AS published FROM documents""")
+    CASE WHEN {LONG_SHARED} THEN 'semantic' ELSE '' END AS strategy, CASE WHEN {LONG_SHARED} THEN {PLAIN} END AS text_content, CASE WHEN {LONG_SHARED} THEN 'https://post.example/i/' || doc_id || '.jpg' ELSE '/i/' || doc_id || '.jpg?utm_source=x' END AS image,
+    CASE WHEN {LONG_SHARED} THEN CAST(len(regexp_extract_all({PLAIN}, '[^ \\t\\n\\r\\f\\v]+')) AS INTEGER) ELSE 0 END AS word_count,
+    CASE WHEN {LONG_SHARED} THEN CASE WHEN length({PLAIN}) > 280 THEN trim(substr({PLAIN}, 1, 280)) || '…' ELSE {PLAIN} END END AS excerpt,
+    CASE WHEN doc_id % 7 <> 0 THEN TIMESTAMP '2023-04-05 06:07:08' WHEN NOT ({LONG_SHARED}) THEN TIMESTAMP '2031-01-01' END AS published FROM documents""")
 def article_semantic(spark, sf):
     """Documents as articles among page furniture; a date far after the clock is no date."""
     e = essays(spark, sf)
@@ -462,3 +465,53 @@ def upsert_stream(spark, sf):
     last = max(s.getPath().getName() for s in path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path))
     return spark.read.parquet(f"{folder}/table/{last}")
 
+
+
+@query("SELECT page_id, true AS packed, sha256(encode(html)) AS body_sha256 FROM pages")
+def compressed_bodies(spark, sf):
+    """Bodies packed as gzip and unpacked again."""
+    out = writers.compressed(table(spark, sf, "pages"), "html")
+    return out.select("page_id", (F.hex(F.substring("packed", 1, 2)) == "1F8B").alias("packed"), F.sha2(udfs.gunzipped("packed").cast("binary"), 256).alias("body_sha256"))
+
+
+@query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) * 90 AS k FROM events),
+    s AS (SELECT *, max(ts - to_seconds(k)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS free FROM r) SELECT event_id, free + to_seconds(k) AS start FROM s""")
+def paced_requests(spark, sf):
+    """When each request may start if hosts are left 90 seconds between two."""
+    e = table(spark, sf, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
+    return pacing.paced(e, 90, "user_id", "ts", "event_id").select("event_id", "start")
+
+
+def _settings(raw: str) -> str:
+    try:
+        s = settings.load(raw)
+    except ValueError:
+        return "error"
+    return f"{s.timeout:.3f} {s.max_body_bytes} {s.global_concurrency} {s.per_host_interval:.3f} {str(s.respect_robots).lower()} {s.cache_ttl:.0f} {s.user_agent}"
+
+
+loaded = udfs.each(_settings, "string")
+
+
+@query("""SELECT c_custkey AS k, CASE c_custkey % 5 WHEN 0 THEN '20.000 5242880 8 1.000 true 86400 loomglass/0.1' WHEN 1 THEN '90.500 ' || (c_custkey + 1) || ' ' || c_custkey || ' 0.250 false 5400 agent ' || c_custkey
+    WHEN 2 THEN '20.000 5242880 8 1.000 true 86400 loomglass/0.1' WHEN 3 THEN 'error' ELSE 'error' END AS settings FROM customer""")
+def settings_loaded(spark, sf):
+    """Settings as YAML over the defaults: none, all, caps that are not positive, a wrong type, and what is no mapping."""
+    texts = [
+        "unknown: «n»\n", "timeout: 1m30.5s\nmax_body_bytes: «m»\nglobal_concurrency: «n»\nper_host_interval: 250ms\nrespect_robots: false\ncache_ttl: 1h30m\nuser_agent: agent «n»\n", "max_body_bytes: 0\nglobal_concurrency: -«m»\ntimeout: null\n",
+        "timeout: «n» ducks\n", "- «n»\n",
+    ]
+    k = F.col("c_custkey")
+    raw = F.element_at(F.array(*(filled(t, n=k, m=k + 1) for t in texts)), (k % 5 + 1).cast("int"))
+    return table(spark, sf, "customer").select(k.alias("k"), loaded(raw).alias("settings"))
+
+
+@query(f"""SELECT doc_id, 'https://post.example/x/' || doc_id AS url, CASE WHEN {LONG} THEN 'semantic' ELSE '' END AS strategy, 'Essay ' || doc_id AS title, CASE WHEN {LONG} THEN CAST(len(regexp_extract_all({PLAIN}, '[^ \\t\\n\\r\\f\\v]+')) AS VARCHAR) ELSE '0' END AS words,
+    CASE WHEN {LONG} THEN length({TIGHT}) || ' characters' END AS reason, CASE WHEN NOT ({LONG}) THEN 'no strategy found an article' END AS error FROM documents""")
+def probe_reports(spark, sf):
+    """Reports read again: what was found, by which strategy and why."""
+    page = F.concat(filled(ESSAY, at=F.lit("2023-04-05")), filled("<body><article>«body»</article></body></html>"))
+    out = scans.probes(essays(spark, sf).select("doc_id", filled("https://post.example/x/«n»").alias("url"), page.alias("html")), keep=["doc_id"], now=CLOCK)
+    names = {"url": "url", "strategy": "strategy", "title": "title", "words": "word_count", "error": "error"}
+    reason = F.when(F.get_json_object("report", "$.attempts[0].ok") == "true", F.get_json_object("report", "$.attempts[0].reason"))
+    return out.select("doc_id", *(F.get_json_object("report", f"$.{p}").alias(n) for n, p in names.items()), reason.alias("reason"))

@@ -217,15 +217,15 @@ def norm_space_word_count(spark, sf):
     return table(spark, sf, "documents").select("doc_id", c.norm_space("text").alias("plain"), c.word_count("text").cast("int").alias("words"))
 
 
-FACTS = r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;', '&'), '\s+', ' ', 'g')) AS title,
-    trim(regexp_replace(replace(replace(replace(replace(replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;', '&'), '\s+', ' ', 'g')) AS h1,
+FACTS = r"""SELECT page_id, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS title,
+    trim(regexp_replace(regexp_replace(replace(replace(replace(replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS h1,
     regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang FROM pages"""
 
 
 def _entities(s: str) -> str:
-    for name, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "''"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+    for name, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "''"), ("&copy;", "©"), ("&middot;", "·")):
         s = f"replace({s}, '{name}', '{sign}')"
-    return s
+    return f"regexp_replace({s}, '&amp;?', '&', 'g')"  # a title may be cut before the semicolon
 
 
 def _read(part: str, between: str = " ") -> str:

@@ -122,6 +122,18 @@ def articles(pages: DataFrame, url_col: str = "url", html: str = "html", keep: l
     return scanned(pages, columns, kernel, html, url_col, keep=keep)
 
 
+def probes(pages: DataFrame, url_col: str = "url", html: str = "html", keep: list[str] | None = None, body: bool = False, now=None) -> DataFrame:
+    """Adds report, a JSON object that says what the extraction of each page found, which strategies were tried and why they failed."""
+    kept = pages.columns if keep is None else keep
+    out = articles(pages, url_col, html, [*dict.fromkeys([*kept, url_col])], now=now)
+    none = F.when(F.col("strategy") == "", "no strategy found an article")
+    report = F.struct(
+        F.col(url_col).alias("url"), F.col("strategy"), F.coalesce("title", F.lit("")).alias("title"), "byline", F.date_format("published", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("published"), "site_name", "image", "lang", "canonical", "word_count",
+        F.when(F.char_length("excerpt") > 200, F.concat(F.substring("excerpt", 1, 200), F.lit("…"))).otherwise(F.col("excerpt")).alias("excerpt"), *([F.col("content_html")] if body else []), "attempts", none.alias("error"),
+    )
+    return out.select(*kept, F.to_json(report).alias("report"))
+
+
 def html_files(spark: SparkSession, path: str) -> DataFrame:
     """(url, html) of files, whole."""
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("url"), F.col("value").alias("html"))

@@ -69,4 +69,11 @@ def write_json(listing: DataFrame, path: str) -> None:
     export_rows(listing).write.json(path)
 
 
-__all__ = ["ENTRY_COLUMNS", "EXPORT_COLUMNS", "export_rows", "feed_json", "gathered", "opml", "rendered", "write_csv", "write_json"]
+def compressed(bodies: DataFrame, body: str = "body", name: str = "packed") -> DataFrame:
+    """Adds the body as gzip, the same bytes for the same text; null stays null."""
+    from ..functions.udfs import gzipped
+
+    return bodies.withColumn(name, gzipped(body))
+
+
+__all__ = ["ENTRY_COLUMNS", "EXPORT_COLUMNS", "compressed", "export_rows", "feed_json", "gathered", "opml", "rendered", "write_csv", "write_json"]
