@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loomglass.llm import bpe, decontaminate, ngram_join, pii, quality
-from loomglass.llm.common import read_table, settled
+from loomglass.llm.common import dropped, read_table, settled
 from loomglass.llm.queries import TOKENIZERS, contaminated, held_out
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -64,7 +64,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = settled(stage(spark, docs, sf_dir), name.split()[0])
+        if before is not None:
+            dropped(spark, before)  # the table of the stage before
+        before = docs
     return docs
