@@ -15,7 +15,9 @@ found by comparing all such components of a label: each is cut into blocks of
 at most BLOCK nodes with a centre and a radius (an angle), pairs of blocks that
 are too far apart to hold a link are passed over, and all others are compared
 node by node; components with a link between them become one. Links within
-components are counted in products of blocks, which count without listing.
+components are counted by blocks: two blocks whose balls lie wholly within the
+threshold's angle are only added up, the others are multiplied, which counts
+without listing.
 (Small components are treated the same, so that link counts are exact within
 every component.) Last, the recall is audited: a sample of nodes is compared
 with all nodes; it is made larger until LINKED of them have links, or all of
@@ -44,6 +46,7 @@ TABLES, LIST, REVERSE, ROUNDS, CHANGE = 4, 10, 12, 4, 0.002
 BLOCK, OVERLAP = 512, 128
 AUDIT, AUDIT_MOST, LINKED, GOAL, AUDIT_ROUNDS = 256, 4096, 64, 0.98, 6
 BITS = 48
+SLACK = 1e-6  # angle by which blocks must be clear of the threshold to be judged as a whole
 
 
 def unit(raw: list[bytes], kind: str) -> np.ndarray:
@@ -52,6 +55,17 @@ def unit(raw: list[bytes], kind: str) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
+def _distances(batch: pa.RecordBatch) -> Iterator[tuple[list, list, np.ndarray, np.ndarray]]:
+    """For rows of two lists of balls: (one, other, least and greatest angle between their members); the other is the one where it is null."""
+    for x, y in zip(batch.column("x"), batch.column("y")):
+        p = x.as_py()
+        q = y.as_py() if y.is_valid else p
+        u, w = (np.frombuffer(b"".join(r["centre"] for r in z)).reshape(len(z), -1) for z in (p, q))
+        angle = np.arccos(np.clip(u @ w.T, -1, 1))
+        reach = np.array([r["radius"] for r in p])[:, None] + np.array([r["radius"] for r in q])
+        yield p, q, angle - reach, angle + reach
+
+
 class NeighbourDescent:
     def __init__(self, vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", threshold: float = THRESHOLD):
         self.spark = vectors.sparkSession
@@ -200,68 +214,98 @@ class NeighbourDescent:
         merged = settled(components(links), "merged").select(F.col("node").alias("component"), F.col("component").alias("into"))
         return settled(comp.join(merged, "component", "left").select("node", F.coalesce("into", "component").alias("component")), "components")
 
-    def crossing(self, comp: DataFrame) -> DataFrame:
-        """Pairs (a, b) of the components given that have a link between them."""
-        kind, threshold = self.kind, self.threshold
-        theta = float(np.arccos(min(1.0, threshold))) + 1e-6
+    def balls(self, comp: DataFrame) -> DataFrame:
+        """(grp, component, piece, m, centre, radius, copies): blocks of at most about BLOCK nodes of each component given, each within an angle of its centre; grp has the label."""
+        kind = self.kind
         sizes = comp.groupBy("component").agg(F.count("*").alias("size"))
         piece = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK)).cast("int")
-        parts = comp.join(sizes, "component").withColumn("piece", piece).join(self.nodes.select("node", "grp", "vec"), "node").groupBy("grp", "component", "piece").agg(F.collect_list("vec").alias("m"))
+        parts = comp.join(sizes, "component").withColumn("piece", piece).join(self.nodes.select("node", "grp", "copies", "vec"), "node")
+        parts = parts.groupBy("grp", "component", "piece").agg(F.collect_list(F.struct("node", "copies", "vec")).alias("m"), F.sum("copies").alias("copies"))
 
-        def balls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 centre, radius = [], []
-                for raw in b.column("m").to_pylist():
-                    v = unit(raw, kind)
+                for rows in b.column("m").to_pylist():
+                    v = unit([r["vec"] for r in rows], kind)
                     c = v.mean(0)
                     c = c / np.linalg.norm(c) if np.linalg.norm(c) > 1e-9 else v[0]
                     centre.append(c.tobytes())
                     radius.append(float(np.arccos(np.clip((v @ c).min(), -1, 1))))
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("grp", "component", "piece", "m")), pa.array(centre, pa.binary()), pa.array(radius, pa.float64())], ["grp", "component", "piece", "m", "centre", "radius"])
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("grp", "component", "piece", "m", "copies")), pa.array(centre, pa.binary()), pa.array(radius, pa.float64())], ["grp", "component", "piece", "m", "copies", "centre", "radius"])
+
+        with arrow_rows(self.spark, 4):
+            return settled(parts.mapInArrow(run, "grp string, component long, piece int, m array<struct<node:bigint,copies:bigint,vec:binary>>, copies long, centre binary, radius double"), "balls")
+
+    @staticmethod
+    def met(parts: DataFrame, by: list[str]) -> DataFrame:
+        """(x, y): chunks of at most about BLOCK balls of one group, each chunk with itself (y null) and with each later one; balls without their nodes."""
+        number = parts.groupBy(*by).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks"))
+        chunk = F.pmod(F.xxhash64("component", "piece"), F.col("chunks")).cast("int")
+        groups = parts.drop("m").join(number, by).withColumn("chunk", chunk).groupBy(*by, "chunk").agg(F.collect_list(F.struct("component", "piece", "copies", "centre", "radius")).alias("x"), F.max("chunks").alias("chunks"))
+        first = groups.select(*by, "chunk", F.explode(F.sequence("chunk", F.col("chunks") - 1)).alias("other"), "x")
+        return first.join(groups.select(*by, F.col("chunk").alias("other"), F.col("x").alias("y")), [*by, "other"]).select("x", F.when(F.col("chunk") != F.col("other"), F.col("y")).alias("y"))
+
+    def crossing(self, comp: DataFrame) -> DataFrame:
+        """Pairs (a, b) of the components given that have a link between them."""
+        kind, threshold = self.kind, self.threshold
+        theta = float(np.arccos(min(1.0, threshold))) + SLACK
 
         def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 out: list[list] = [[], [], [], []]
-                for x, y in zip(b.column("x"), b.column("y")):
-                    p = x.as_py()
-                    q = y.as_py() if y.is_valid else p
-                    u, w = (np.frombuffer(b"".join(r["centre"] for r in z)).reshape(len(z), -1) for z in (p, q))
-                    far = np.arccos(np.clip(u @ w.T, -1, 1)) - np.array([r["radius"] for r in p])[:, None] - np.array([r["radius"] for r in q])
+                for p, q, far, _ in _distances(b):
                     cp, cq = (np.array([r["component"] for r in z]) for z in (p, q))
                     maybe = (far <= theta) & (cp[:, None] != cq)
-                    for i, j in np.argwhere(np.triu(maybe) if not y.is_valid else maybe).tolist():
+                    for i, j in np.argwhere(np.triu(maybe) if q is p else maybe).tolist():
                         for k, v in enumerate((p[i]["component"], p[i]["piece"], q[j]["component"], q[j]["piece"])):
                             out[k].append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int32()))], ["a", "pa", "b", "pb"])
 
         def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                has = [bool((unit(x.as_py(), kind) @ unit(y.as_py(), kind).T >= threshold).any()) for x, y in zip(b.column("x"), b.column("y"))]
+                sides = ([[r["vec"] for r in rows] for rows in b.column(c).to_pylist()] for c in "xy")
+                has = [bool((unit(x, kind) @ unit(y, kind).T >= threshold).any()) for x, y in zip(*sides)]
                 yield b.select(["a", "b"]).filter(pa.array(has, pa.bool_()))
 
+        parts = self.balls(comp)
         with arrow_rows(self.spark, 4):
-            parts = settled(parts.mapInArrow(balls, "grp string, component long, piece int, m array<binary>, centre binary, radius double"), "balls")
-            number = parts.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks"))
-            chunk = F.pmod(F.xxhash64("component", "piece"), F.col("chunks")).cast("int")
-            groups = parts.select("grp", "component", "piece", "centre", "radius").join(number, "grp").withColumn("chunk", chunk).groupBy("grp", "chunk").agg(F.collect_list(F.struct("component", "piece", "centre", "radius")).alias("x"), F.max("chunks").alias("chunks"))
-            first = groups.select("grp", "chunk", F.explode(F.sequence("chunk", F.col("chunks") - 1)).alias("other"), "x")
-            met = first.join(groups.select("grp", F.col("chunk").alias("other"), F.col("x").alias("y")), ["grp", "other"]).select("x", F.when(F.col("chunk") != F.col("other"), F.col("y")).alias("y"))
-            pairs = settled(met.mapInArrow(close, "a long, pa int, b long, pb int"), "pairs")
+            pairs = settled(self.met(parts, ["grp"]).mapInArrow(close, "a long, pa int, b long, pb int"), "pairs")
             one, two = (parts.select(F.col("component").alias(c), F.col("piece").alias("p" + c), F.col("m").alias(m)) for c, m in (("a", "x"), ("b", "y")))
             return settled(pairs.join(one, ["a", "pa"]).join(two, ["b", "pb"]).select("a", "b", "x", "y").mapInArrow(linked, "a long, b long").distinct(), "crossing")
 
     def counted(self, comp: DataFrame) -> DataFrame:
-        """(node, links to other rows) within each component of more than one node, by products of blocks."""
+        """(node, links to other rows) within each component of more than one node.
+
+        Two blocks whose balls lie within the threshold's angle as a whole link entirely and are only added up; those
+        too far apart are passed over; products are made of the others.
+        """
         kind, threshold = self.kind, self.threshold
-        member = comp.join(self.nodes.select("node", "copies", "vec"), "node")
-        sizes = comp.groupBy("component").agg(F.count("*").alias("size"))
-        piece = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK)).cast("int")
-        parts = member.join(sizes, "component").withColumn("piece", piece).groupBy("component", "piece").agg(F.collect_list(F.struct("node", "copies", "vec")).alias("m"), F.max(F.ceil(F.col("size") / BLOCK)).cast("int").alias("pieces"))
-        parts = settled(parts, "blocks")
-        # each block meets itself and the later ones; a copy goes out for every meeting
-        first = parts.select("component", "piece", F.explode(F.sequence("piece", F.col("pieces") - 1)).alias("other"), F.col("m").alias("x"))
-        second = parts.select("component", F.col("piece").alias("other"), F.col("m").alias("y"))
-        met = first.join(second, ["component", "other"]).select("piece", "other", "x", F.when(F.col("piece") != F.col("other"), F.col("y")).alias("y"))
+        theta = float(np.arccos(min(1.0, threshold)))
+        parts = self.balls(comp)
+
+        def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """A row for each pair of blocks to multiply (other >= 0), and one for each block with the rows that surely link to all of its nodes (other -1)."""
+            for b in batches:
+                out: list[list] = [[], [], [], []]
+                for p, q, far, near in _distances(b):
+                    sure, maybe = near <= theta - SLACK, far <= theta + SLACK
+                    ids = [np.array([r["piece"] for r in z]) for z in (p, q)]
+                    copies = [np.array([r["copies"] for r in z], np.int64) for z in (p, q)]
+                    if q is p:
+                        more = sure @ copies[1]  # its own rows too, but for a node itself
+                        rows = [(ids[0], more)]
+                        pairs = np.argwhere(np.triu(maybe & ~sure))
+                    else:
+                        rows = [(ids[0], sure @ copies[1]), (ids[1], sure.T @ copies[0])]
+                        pairs = np.argwhere(maybe & ~sure)
+                    component = p[0]["component"]
+                    for piece, n in rows:
+                        some = np.flatnonzero(n)
+                        for k, v in enumerate(([component] * len(some), piece[some].tolist(), [-1] * len(some), n[some].tolist())):
+                            out[k] += v
+                    for k, v in enumerate(([component] * len(pairs), ids[0][pairs[:, 0]].tolist(), ids[1][pairs[:, 1]].tolist(), [0] * len(pairs))):
+                        out[k] += v
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.int64()))], ["component", "piece", "other", "links"])
 
         def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -283,7 +327,16 @@ class NeighbourDescent:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(node), pa.int64()), pa.array(np.concatenate(links).astype(np.int64))], ["node", "links"])
 
         with arrow_rows(self.spark, 4):
-            return settled(met.select("x", "y").mapInArrow(products, "node long, links long").groupBy("node").agg(F.sum("links").alias("links")), "counts")
+            pairs = settled(self.met(parts, ["component"]).mapInArrow(told, "component long, piece int, other int, links long"), "meetings")
+            x, y = (parts.select("component", F.col("piece").alias(n), F.col("m").alias(m)) for n, m in (("piece", "x"), ("other", "y")))
+            both = pairs.where("other >= 0").join(x, ["component", "piece"]).join(y, ["component", "other"]).select("x", F.when(F.col("piece") != F.col("other"), F.col("y")).alias("y"))
+            made = both.mapInArrow(products, "node long, links long")
+            whole = pairs.where("other < 0").groupBy("component", "piece").agg(F.sum("links").alias("links"))
+            sure = parts.join(whole, ["component", "piece"]).select(F.explode("m").alias("n"), "links").select(F.col("n.node").alias("node"), "links")
+            # a block that is sure of itself counts each node's own copies as links
+            own = pairs.where("piece = other").select("component", "piece", F.lit(True).alias("multiplied")).distinct()
+            less = parts.join(own, ["component", "piece"], "left_anti").select(F.explode("m").alias("n")).select(F.col("n.node").alias("node"), (-F.col("n.copies")).alias("links"))
+            return settled(made.union(sure).union(less).groupBy("node").agg(F.sum("links").alias("links")), "counts")
 
     def exhausted(self, comp: DataFrame) -> DataFrame:
         """comp with all links, by comparing all blocks of a label; only pairs of components come out of it."""

@@ -117,3 +117,22 @@ def test_audit_asks_on_until_it_meets_links_and_what_it_misses_is_compared_exhau
     monkeypatch.setattr(ed, "GOAL", 2.0)  # never reached
     got = {x.vec_id: (x.n_links, x.component_id) for x in search.links().collect()}
     assert all(got[k] == got[1000 + k] == (1, k) for k in range(20)) and sum(n for n, _ in got.values()) == 40
+
+
+def test_counts_by_many_blocks(spark, monkeypatch):
+    """Blocks that link as a whole, in part and not at all."""
+    import numpy as np
+
+    import loomglass.llm.embedding_dedup as ed
+
+    monkeypatch.setattr(ed, "BLOCK", 8)
+    monkeypatch.setattr(ed, "OVERLAP", 3)
+    r = random.Random(2)
+    rows = []
+    for k in range(40):  # a chain along a circle, whose ends don't link
+        rows.append((k, [math.cos(k * 0.02), math.sin(k * 0.02), 0.0, 0.0], 0))
+    for k in range(40):  # a tight group with copies
+        rows.append((100 + k, [0.0, 0.0, 1.0, r.choice([0.0, 0.01, r.gauss(0, 0.02)])], 0))
+    rows = [(k, [float(np.float32(x)) for x in v], y) for k, v, y in rows]
+    got = sorted((x.vec_id, x.n_links, x.component_id) for x in NeighbourDescent(frame(spark, rows)).links().collect())
+    assert got == expected(rows)
