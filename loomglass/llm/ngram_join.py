@@ -62,6 +62,8 @@ from .common import BY_SPACE, DOC_BITS, U64, Bitmap, Words, arrow_rows, componen
 N, NUMERATOR, DENOMINATOR = 3, 90, 100
 BUCKET, SHARE, PER_ROW, REBASES = 16, 0.2, 64, 12
 BITS_PER_KEY, LEAST_BITS, MOST_BITS = 64, 1 << 18, 1 << 28
+#: References of large buckets that may be broadcast.
+BASE_BYTES = 16 << 20
 SEEDS = (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0x9B05688C2B3E6C1F)
 WIDTH = 64 - DOC_BITS
 
@@ -128,10 +130,21 @@ def _signatures(token: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def _cut(values: np.ndarray, bound: np.ndarray) -> pa.Array:
-    raw, size = values.tobytes(), values.itemsize
+    raw, size = values.tobytes(), values.itemsize * (values.shape[1] if values.ndim > 1 else 1)
     return pa.array([raw[size * a : size * b] for a, b in zip(bound[:-1].tolist(), bound[1:].tolist())], pa.binary())
 
 
+def packed(token: np.ndarray) -> np.ndarray:
+    """Tokens as five bytes each: their upper 40 bits, in the same order."""
+    return np.ascontiguousarray((token >> U64(WIDTH - 40)).view(np.uint8).reshape(-1, 8)[:, :5])
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+    return out.view(U64).ravel() << U64(WIDTH - 40)
+
+
 class NgramJoin:
     """One self-join; components() gives the result and the parts stay readable on their own."""
 
@@ -279,7 +292,7 @@ class NgramJoin:
             two, cut2 = prefixes(token, bound, SEEDS[1], None, num, den)
             three, cut3 = prefixes(token, bound, SEEDS[2], None, num, den)
             # equal tokens have equal lower halves, so filters on those lose nothing
-            columns = {"second": _cut(two.astype(np.uint32), cut2), "third": _cut(three.astype(np.uint32), cut3), "whole": _cut(token, bound)}
+            columns = {"second": _cut(two.astype(np.uint32), cut2), "third": _cut(three.astype(np.uint32), cut3), "whole": _cut(packed(token), bound)}
             return {"one": ids_of(one[keep]), "two": ids_of(other[keep])} | {k: v.take(pa.array(keep)) for k, v in columns.items()}
 
         raw = text_map(self.docs, [], "text", "one long, two long, second binary, third binary, whole binary", kernel)
@@ -304,7 +317,7 @@ class NgramJoin:
             for b in batches:
                 ok = []
                 for x, y in zip(b.column("whole_a").to_pylist(), b.column("whole_b").to_pylist()):
-                    x, y = np.frombuffer(x, U64), np.frombuffer(y, U64)
+                    x, y = unpacked(x), unpacked(y)
                     both = len(np.intersect1d(x, y, True))
                     ok.append(den * both >= num * (len(x) + len(y) - both))
                 yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
@@ -327,8 +340,8 @@ class NgramJoin:
             for b in batches:
                 out = []
                 for members in b.column("members").to_pylist():
-                    token, n = np.unique(np.concatenate([np.frombuffer(m, U64) for m in members]), return_counts=True)
-                    out.append(token[n >= min(2, len(members))].tobytes())
+                    token, n = np.unique(np.concatenate([unpacked(m) for m in members]), return_counts=True)
+                    out.append(packed(token[n >= min(2, len(members))]).tobytes())
                 yield pa.RecordBatch.from_arrays([b.column("pivot"), pa.array(out, pa.binary())], ["pivot", "base"])
 
         def differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -336,7 +349,7 @@ class NgramJoin:
             for b in batches:
                 out: list[list] = [[] for _ in range(7)]
                 for pivot, node, p, x in zip(*(b.column(c).to_pylist() for c in ("pivot", "node", "base", "whole"))):
-                    p, x = np.frombuffer(p, U64), np.frombuffer(x, U64)
+                    p, x = unpacked(p), unpacked(x)
                     more, less = np.setdiff1d(x, p, True), np.setdiff1d(p, x, True)
                     n, d = len(x), len(more) + len(less)
                     most = (n + n * den // num) * (den - num) // (den + num)
@@ -368,7 +381,8 @@ class NgramJoin:
             wholes = three.dropDuplicates(["pivot"]).select("pivot", F.explode("three").alias("node")).join(sets.select("node", "whole"), "node")
             base = settled(wholes.groupBy("pivot").agg(F.collect_list("whole").alias("members")).mapInArrow(references, "pivot long, base binary"), "references")
             group = large.join(three.select("token", "pivot"), "token").select("pivot", "node").distinct()
-            ready = group.join(sets.select("node", "whole"), "node").join(base, "pivot")
+            size = base.agg(F.sum(F.octet_length("base"))).first()[0] or 0
+            ready = group.join(sets.select("node", "whole"), "node").join(F.broadcast(base) if size <= BASE_BYTES else base, "pivot")
             rows = settled(ready.mapInArrow(differences, "pivot long, element long, node long, n long, d long, role int, place int"), "differences")
             near = rows.where("role = 0").select("pivot", "node", "n", "d")
             slack = f"n * {den - num} - d * {den + num}"
