@@ -13,8 +13,9 @@ and bytes.
   ones. Shards of a tier are taken in order of their number and packed, by a
   running sum of bytes, into outputs of about TARGET_BYTES; tiers with at least
   FAN shards are merged, shards of half the target or more stay. There are as
-  many tasks as outputs, so a task holds about a target's bytes however large
-  the store is. Then a version is committed in which the outputs replace their
+  many tasks as outputs, and each output is dealt by a number that is known to
+  hash to a task of its own, so a task holds about a target's bytes however
+  large the store is. Then a version is committed in which the outputs replace their
   inputs. Only the files of the shards to be merged are read.
 
 A commit first writes the version's manifest to a folder of its own, then
@@ -142,6 +143,13 @@ class ShardStore:
             outputs += r.last + 1
         return many.select("shard", (first + F.col("slot")).cast("long").alias("output"))
 
+    def _placed(self, plan: DataFrame, outputs: int) -> DataFrame:
+        """The plan with place, for each output a number that repartition(outputs, place) puts into a partition of its own."""
+        slots = plan.select("output").distinct().withColumn("slot", F.row_number().over(Window.orderBy("output")) - 1)
+        number = F.col("id").cast("int")
+        places = self.spark.range(40 * outputs + 100).groupBy(F.pmod(F.hash(number), F.lit(outputs)).alias("slot")).agg(F.min(number).alias("place"))
+        return plan.join(slots.join(places, "slot", "left").select("output", F.coalesce("place", "slot").alias("place")), "output")
+
     def compact(self) -> int | None:
         """One round; returns the version it committed, or None if nothing was to merge."""
         live = self.manifest()
@@ -152,9 +160,10 @@ class ShardStore:
         version, schema = self._next(), self._schema()
         shard, size = self._own(schema)
         base = live.agg(F.max("shard")).first()[0]
-        to = plan.select(F.col("shard").alias(shard), (F.col("output") + F.lit(base)).alias(free_name("__to", [*schema.names, shard, size])))
-        moved = self._read(live.join(plan, "shard", "left_semi"), schema).join(to, shard).drop(shard).withColumnRenamed(to.columns[1], shard)
-        merged = self._write(moved.select(*(F.col(f"`{c}`") for c in [*schema.names, size, shard])).repartition(outputs, F.col(shard)), shard, size, version)
+        new, place = (free_name(n, [*schema.names, shard, size]) for n in ("__to", "__place"))
+        to = self._placed(plan, outputs).select(F.col("shard").alias(shard), (F.col("output") + F.lit(base)).alias(new), F.col("place").alias(place))
+        moved = self._read(live.join(plan, "shard", "left_semi"), schema).join(to, shard).drop(shard).withColumnRenamed(new, shard)
+        merged = self._write(moved.repartition(outputs, F.col(place)).select(*(F.col(f"`{c}`") for c in [*schema.names, size, shard])), shard, size, version)
         self.commit(live.join(plan, "shard", "left_anti").select("shard", "rows", "bytes", "path", "version").union(merged), version, schema)
         return version
 

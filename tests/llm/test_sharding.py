@@ -74,3 +74,13 @@ def test_an_arrival_takes_no_shuffle_and_a_merge_as_many_tasks_as_outputs(spark)
     store.compacted()
     live = store.manifest().collect()
     assert sum(r.bytes for r in live) == 40_000 and max(r.bytes for r in live) <= 9000 and len(live) <= 6
+
+
+def test_each_output_has_a_task_of_its_own(spark):
+    store = ShardStore(spark, small=100, target=2500, fan=2)
+    store.append(spark.range(0, 1200, 1, 120).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), 100).alias("text")))
+    plan = store.plan(store.manifest())
+    outputs = plan.agg(F.count_distinct("output")).first()[0]
+    assert outputs > 20
+    rows = store._placed(plan, outputs).repartition(outputs, "place").select("output", F.spark_partition_id().alias("p")).distinct().collect()
+    assert len(rows) == outputs == len({r.p for r in rows})
