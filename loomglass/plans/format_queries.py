@@ -10,13 +10,13 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import columns as c, udfs
-from ..kernels import dom, sanitize, selectors, text
+from ..kernels import dates, dom, sanitize, selectors, text
 from ..kernels.listing import ListOptions
 from ..operators import bodies, catalog, items, pacing, sites
 from ..sources import pages as scans, writers
 from ..streaming import state
 from . import settings
-from .queries import BUILDS, CLOCK, _stream, builds, query, table
+from .queries import BUILDS, CLOCK, SQL, _stream, builds, listing, query, table
 from .spec import FieldError, parse as parse_spec, self_link
 
 RAW_TITLE = "regexp_extract(html, '<title>([^<]*)</title>', 1)"
@@ -515,3 +515,35 @@ def probe_reports(spark, sf):
     names = {"url": "url", "strategy": "strategy", "title": "title", "words": "word_count", "error": "error"}
     reason = F.when(F.get_json_object("report", "$.attempts[0].ok") == "true", F.get_json_object("report", "$.attempts[0].reason"))
     return out.select("doc_id", *(F.get_json_object("report", f"$.{p}").alias(n) for n, p in names.items()), reason.alias("reason"))
+
+
+@query(f"WITH e AS ({SQL['csv_export']}) SELECT 'csv' AS kind, * FROM e UNION ALL SELECT 'json', * FROM e")
+def export_files(spark, sf):
+    """The listing written as CSV and as JSON lines, and read again."""
+    rows = listing(spark, sf)
+    shape = writers.export_rows(rows).schema
+    folder = state.shared_folder(spark, "exports")
+    writers.write_csv(rows, f"{folder}/csv")
+    writers.write_json(rows, f"{folder}/json")
+    csv = spark.read.schema(shape).option("header", True).csv(f"{folder}/csv")
+    return csv.withColumn("kind", F.lit("csv")).unionByName(spark.read.schema(shape).json(f"{folder}/json").withColumn("kind", F.lit("json")))
+
+
+@query("SELECT n_nationkey, '<p>' || n_name || '</p>' || chr(10) AS html, n_name AS shown FROM nation")
+def html_files_read(spark, sf):
+    """Local pages: a file each, read whole."""
+    folder = state.shared_folder(spark, "pages")
+    table(spark, sf, "nation").select(F.col("n_nationkey").alias("nation"), F.concat(F.lit("<p>"), F.col("n_name"), F.lit("</p>")).alias("value")).write.partitionBy("nation").text(folder)
+    files = scans.html_files(spark, f"{folder}/nation=*")
+    return files.select(F.regexp_extract("url", "nation=([0-9]+)", 1).cast("int").alias("n_nationkey"), "html", udfs.plain_text("html").alias("shown"))
+
+
+sure_date = udfs.each(dates.parse_unambiguous, "timestamp")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 OR o_orderkey % 3 = 1 AND day(o_orderdate) > 12 THEN o_orderdate END AS date FROM orders")
+def unambiguous_dates(spark, sf):
+    """Days written with numbers only: no date where the first number may be a month, unless the year comes first."""
+    day = F.col("o_orderdate")
+    raw = F.when(F.col("o_orderkey") % 3 == 0, F.date_format(day, "yyyy-MM-dd")).when(F.col("o_orderkey") % 3 == 1, F.date_format(day, "dd/MM/yyyy")).otherwise(F.date_format(day, "MM/dd/yyyy"))
+    return table(spark, sf, "orders").select("o_orderkey", sure_date(raw).alias("date"))
