@@ -72,6 +72,7 @@ CACHE = """cache AS (SELECT o_custkey + o_custkey // 2 AS feed_key, max(o_orderd
     min(o_orderpriority) AS detector, 'rss' AS format, 'https://site' || (o_custkey + o_custkey // 2) || '.example.com/' AS source_url FROM orders GROUP BY o_custkey)"""
 
 # The pages' URLs have plain hosts, paths and at most the parameters utm_source, page and ref, so that SQL can state their identity.
+ORIGIN = "regexp_extract(url, '^[a-z]+://[^/?#]+')"
 NORM = """regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '#.*$', ''), '([?&])utm_[a-z]+=[^&]*', '\\1'), '[?&]+$', ''), '^([a-z]+://[^/?]+)([?]|$)', '\\1/\\2')"""
 HOST = "lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1))"
 SITE = f"regexp_extract({HOST}, '([^.]+\\.[^.]+)$', 1)"
@@ -280,7 +281,23 @@ def page_links_chrome(spark, sf):
     return scans.page_links(table(spark, sf, "pages"), keep=["page_id"]).select("page_id", "pos", "is_chrome")
 
 
-@query()
+_SAFE = {"%2C": ",", "%24": "$", "%26": "&", "%2A": "*", "%21": "!", "%3A": ":", "%3B": ";", "%3D": "=", "%2B": "+", "%40": "@", "%28": "(", "%29": ")", "%27": "''"}  # signs that a path may hold as they are
+
+
+def _path_of(s: str) -> str:
+    s = f"url_encode({s})"
+    for code, sign in _SAFE.items():
+        s = f"replace({s}, '{code}', '{sign}')"
+    return s
+
+
+@query(f"""WITH a AS (SELECT page_id, {ORIGIN} AS origin, unnest(regexp_extract_all(regexp_extract(html, '<nav>(.*?)</nav>', 1, 's'), '<a href="/([^"]*)">([^<]*)</a>', 1)) AS href,
+        generate_subscripts(regexp_extract_all(regexp_extract(html, '<nav>(.*?)</nav>', 1, 's'), '<a href="/([^"]*)">([^<]*)</a>', 1), 1) AS n,
+        regexp_extract_all(regexp_extract(html, '<nav>(.*?)</nav>', 1, 's'), '<a href="/([^"]*)">([^<]*)</a>', 2) AS texts FROM pages),
+    b AS (SELECT page_id, n, {_entities('texts[n]')} AS title, {_entities('href')} AS href, origin FROM a),
+    c AS (SELECT page_id, n, trim(regexp_replace(title, '\\s+', ' ', 'g')) AS title, origin || '/' || {_path_of("regexp_replace(href, '#.*$', '')")} AS link FROM b WHERE NOT contains(href, '%')),
+    d AS (SELECT page_id, min(n) AS n, arg_min(title, n) AS title, link FROM c GROUP BY page_id, link)
+    SELECT page_id, CAST(1 AS INTEGER) AS source_ord, CAST(row_number() OVER (PARTITION BY page_id ORDER BY n) - 1 AS INTEGER) AS pos, link, title, title AS summary, CAST(NULL AS VARCHAR) AS confidence FROM d""")
 def page_items_detected(spark, sf):
     """Listings detected on pages whose anchors all are navigation: none; and the anchors themselves by selector."""
     p = table(spark, sf, "pages")
