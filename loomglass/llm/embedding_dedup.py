@@ -34,6 +34,7 @@ are named by the smallest id in them.
 """
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -271,7 +272,9 @@ class NeighbourDescent:
         with arrow_rows(self.spark, 4):
             pairs = settled(self.met(parts, ["grp"]).mapInArrow(close, "a long, pa int, b long, pb int"), "pairs")
             one, two = (parts.select(F.col("component").alias(c), F.col("piece").alias("p" + c), F.col("m").alias(m)) for c, m in (("a", "x"), ("b", "y")))
-            return settled(pairs.join(one, ["a", "pa"]).join(two, ["b", "pb"]).select("a", "b", "x", "y").mapInArrow(linked, "a long, b long").distinct(), "crossing")
+            out = settled(pairs.join(one, ["a", "pa"]).join(two, ["b", "pb"]).select("a", "b", "x", "y").mapInArrow(linked, "a long, b long").distinct(), "crossing")
+        dropped(self.spark, parts, pairs)
+        return out
 
     def counted(self, comp: DataFrame) -> DataFrame:
         """(node, links to other rows) within each component of more than one node.
@@ -336,7 +339,9 @@ class NeighbourDescent:
             # a block that is sure of itself counts each node's own copies as links
             own = pairs.where("piece = other").select("component", "piece", F.lit(True).alias("multiplied")).distinct()
             less = parts.join(own, ["component", "piece"], "left_anti").select(F.explode("m").alias("n")).select(F.col("n.node").alias("node"), (-F.col("n.copies")).alias("links"))
-            return settled(made.union(sure).union(less).groupBy("node").agg(F.sum("links").alias("links")), "counts")
+            out = settled(made.union(sure).union(less).groupBy("node").agg(F.sum("links").alias("links")), "counts")
+        dropped(self.spark, parts, pairs)
+        return out
 
     def exhausted(self, comp: DataFrame) -> DataFrame:
         """comp with all links, by comparing all blocks of a label; only pairs of components come out of it."""
@@ -359,6 +364,7 @@ class NeighbourDescent:
 
         with arrow_rows(self.spark, 4):
             links = settled(met.select("x", "y").mapInArrow(linked, "a long, b long").distinct(), "rest")
+        dropped(self.spark, parts)
         both = comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links)
         return settled(components(both), "components")
 
@@ -400,18 +406,17 @@ class NeighbourDescent:
         """vec_id, n_links, component_id and kept of every row, and the recall that the audit saw."""
         graph, comp = None, None
         for k in range(AUDIT_ROUNDS):
-            fresh = None
-            for t in range(TABLES):
-                more = self.ordered(k * TABLES + t)
-                fresh = more if fresh is None else fresh.union(more)
-            fresh = fresh.withColumn("fresh", F.lit(1))
-            graph = self.refined(fresh if graph is None else graph.withColumn("fresh", F.lit(0)).unionByName(fresh))
+            orderings = [self.ordered(k * TABLES + t) for t in range(TABLES)]
+            fresh = reduce(DataFrame.union, orderings).withColumn("fresh", F.lit(1))
+            old, graph = graph, self.refined(fresh if graph is None else graph.withColumn("fresh", F.lit(0)).unionByName(fresh))
+            dropped(self.spark, *orderings, *([old] if old is not None else []))
             comp = self.joined(settled(components(graph.where(F.col("sim") >= self.threshold)), "components"), graph)
             self.recall = self.audit(comp)
             if self.recall >= GOAL:
                 break
         else:
             comp = self.exhausted(comp)
+        dropped(self.spark, graph)
         counts = self.counted(comp)
         told = self.nodes.select("grp", "one", "two", "node", "low", "copies").join(comp, "node", "left").join(counts, "node", "left").withColumn("c", F.coalesce("component", "node"))
         names = told.groupBy("c").agg(F.min("low").alias("name"))
