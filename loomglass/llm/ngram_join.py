@@ -60,7 +60,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .common import BY_SPACE, DOC_BITS, U64, Bitmap, Words, arrow_rows, components, configure, distinct_tokens, dropped, ids_of, mixed, release, sequence_hash, settled, text_map
 
 N, NUMERATOR, DENOMINATOR = 3, 90, 100
-BUCKET, SHARE, PER_ROW, REBASES = 16, 0.2, 64, 12
+BUCKET, SHARE, PER_ROW, REBASES = 16, 0.2, 16, 12
 BITS_PER_KEY, LEAST_BITS, MOST_BITS = 64, 1 << 18, 1 << 28
 #: References of large buckets that may be broadcast.
 BASE_BYTES = 16 << 20
