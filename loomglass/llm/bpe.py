@@ -42,9 +42,9 @@ from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
 from .carry import carried
-from .common import configure
+from .common import configure, give_back
 
-ARCS = 1 << 19
+ARCS = 1 << 18
 
 
 class MergeAutomaton:
@@ -259,6 +259,7 @@ def encode_decode(df: DataFrame, path: str, text: str = "text", keep: list[str]
             got = [t.encode(x.as_py()) for x in batch.column(name)]
             columns = [*(batch.column(c) for c in keep), pa.array([a for a, _ in got], pa.binary()), pa.array([b for _, b in got], pa.string())]
             yield pa.RecordBatch.from_arrays(columns, [*keep, "ids", "decoded"])
+        give_back()
 
     return base.mapInArrow(run, f"{fields}ids binary, decoded string")
 

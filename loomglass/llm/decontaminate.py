@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .carry import carried, free_name
-from .common import BY_ALNUM, Words, configure, dropped, sequence_hash, settled, spans_of, text_map, utf8_view
+from .common import BY_ALNUM, Words, configure, dropped, give_back, sequence_hash, settled, spans_of, text_map, utf8_view
 
 WINDOW, SHINGLE = 13, 5
 #: Benchmark text whose index may be broadcast at once.
@@ -211,5 +211,6 @@ def _pass(shared, name: str, marks: tuple[str, str]):
                 new = {marks[0]: pa.array(spans, pa.binary()), marks[1]: pa.array([sorted(x) for x in items], pa.list_(pa.string()))}
                 columns = [new.get(c, part.column(m)) for m, c in enumerate(names)]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(n.astype(np.int64)), pa.array(hits, pa.int64())], [*names, "n_words", "n_hit"])
+        give_back()
 
     return run

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .carry import carried
-from .common import configure
+from .common import configure, give_back
 
 KINDS = ("email", "ip", "card", "phone")
 TRAIN_DOCS, TRAIN_BYTES, TRAIN_STEPS, TRAIN_BATCH = 500, 1 << 16, 450, 64
@@ -447,6 +447,7 @@ def spotted(docs: DataFrame, model: SpanTagger | None, keep: list[str], text: st
                 columns.append(pa.array([y if y is None else redacted(y, x) for x, y in zip(spans, raw)], pa.string()))
                 names.append("clean")
             yield pa.RecordBatch.from_arrays(columns, names)
+        give_back()
 
     return base.mapInArrow(run, f"{fields}pii array<struct<kind:string,start:bigint,end:bigint,by_model:boolean>>" + (", clean string" if redact else ""))
 
