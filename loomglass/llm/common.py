@@ -161,6 +161,7 @@ def text_map(df: DataFrame, columns: list[str], text: str, schema: str, kernel:
             for i, j in spans_of(offs):
                 got = kernel(batch.slice(i, j - i), data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
                 yield got if isinstance(got, pa.RecordBatch) else pa.RecordBatch.from_pydict(got)
+        give_back()
 
     return df.select(*dict.fromkeys([*columns, text])).mapInArrow(run, schema)
 
