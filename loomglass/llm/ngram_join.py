@@ -34,7 +34,8 @@ differ in at most D = (|x| + |y|) (1 - t) / (1 + t) elements, so
 
 * if d_x + d_y <= D they are similar. With s_z = |z| (1 - t) / (1 + t) - d_z
   that is s_x + s_y >= 0. So both are, by the same sum, similar to the node
-  with the largest s: links to this one node connect them all;
+  with the largest s: links to this one node connect them all, and no pair of
+  two such nodes is followed further;
 * else they share at least (d_x + d_y - D) / 2 elements of their differences,
   and prefix filters apply again: D/2 + 1 elements of the smaller difference
   against D + 1 of the larger one, less where the sizes of both ask for more
@@ -52,6 +53,7 @@ a set) are taken as equality.
 """
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -390,17 +392,22 @@ class NgramJoin:
             sure = near.join(best, "pivot").where(f"node != rep and s + {slack} >= 0")
             sure = settled(sure.select(F.least("node", "rep").alias("a"), F.greatest("node", "rep").alias("b")).distinct(), "sure")
             links = sure if links is None else links.union(sure)
-            met = rows.where("role > 0").groupBy("pivot", "element").agg(F.count_if(F.col("role") == 1).alias("s"), F.count_if(F.col("role") == 2).alias("l")).where("s > 0 and l > 1")
-            met = settled(met.select("pivot", "element", (F.col("s") * F.col("l") > PER_ROW * (F.col("s") + F.col("l"))).alias("again")), "met")
-            few = rows.join(met.where("not again").select("pivot", "element"), ["pivot", "element"])
-            small = few.where("role = 1").select("pivot", "element", F.col("node").alias("u"), F.col("n").alias("nu"), F.col("d").alias("du"), F.col("place").alias("iu"))
-            wide = few.where("role = 2").select("pivot", "element", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("d").alias("dv"), F.col("place").alias("iv"))
+            # nodes that such links connect to one another need no further pair among themselves
+            told = rows.where("role > 0").join(best.select("pivot", "s"), "pivot", "left").withColumn("linked", F.coalesce(F.expr(f"s + {slack} >= 0"), F.lit(False))).drop("s")
+            one, two = F.col("role") == 1, F.col("role") == 2
+            met = told.groupBy("pivot", "element").agg(F.count_if(one).alias("s"), F.count_if(two).alias("l"), F.count_if(one & F.col("linked")).alias("sl"), F.count_if(two & F.col("linked")).alias("ll"))
+            met = met.withColumn("work", F.expr("s * l - sl * ll")).where("s > 0 and l > 1 and work > 0")
+            met = settled(met.select("pivot", "element", (F.col("work") > PER_ROW * (F.col("s") + F.col("l"))).alias("again")), "met")
+            few = told.join(met.where("not again").select("pivot", "element"), ["pivot", "element"])
+            small = few.where("role = 1").select("pivot", "element", F.col("node").alias("u"), F.col("n").alias("nu"), F.col("d").alias("du"), F.col("place").alias("iu"), F.col("linked").alias("lu"))
+            wide = few.where("role = 2").select("pivot", "element", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("d").alias("dv"), F.col("place").alias("iv"), F.col("linked").alias("lv"))
             # a shared element lies early enough in both orders for the overlap that these two sizes need
             most = f"((nu + nv) * {den - num} div {den + num})"
             near = f"(du < dv or (du = dv and u != v)) and 2 * iu <= {most} - (dv - du) and 2 * iv <= {most} + (dv - du) and least(nu, nv) * {den} >= greatest(nu, nv) * {num}"
-            found = small.join(wide, ["pivot", "element"]).where(near).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
+            sides = [(small.where("not lu"), wide), (small.where("lu"), wide.where("not lv"))]
+            found = reduce(DataFrame.union, (x.join(y, ["pivot", "element"]).where(near).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")) for x, y in sides)).distinct()
             pairs = settled(found if pairs is None else pairs.union(found), "relative")
-            again = rows.where("role > 0").join(met.where("again").select("pivot", "element"), ["pivot", "element"])
+            again = told.join(met.where("again").select("pivot", "element"), ["pivot", "element"])
             large = settled(self.once(again.select(F.xxhash64("pivot", "element").alias("token"), "node", "n").distinct()), "large")
         return links, pairs
 
