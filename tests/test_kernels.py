@@ -159,6 +159,14 @@ def test_listing():
     assert [listing.grade(c) for c in ([20, 3], [5, 5], [7])] == ["high", "low", "medium"]
 
 
+def test_listing_has_every_link_of_a_long_page():
+    o = listing.ListOptions(base_url="https://e.example/")
+    page = "".join(f'<div class="card"><a href="/2027/{k}/crane-{k}">Crane {k}</a></div>' for k in range(5000))
+    found, how = listing.collect(page, o)
+    assert [it.title for it in found] == [f"Crane {k}" for k in range(5000)] and how.candidates[0]["count"] == 5000
+    assert len(listing.link_refs(dom.parse(page), o)) == 5000
+
+
 @pytest.mark.parametrize("raw, name", [("Oleh Ida Holm", "Ida Holm"), ("Oleh: ida", "ida"), ("by 1999", ""), ("By: Ida Holm yesterday", "Ida Holm"), ("Harbour | oleh: Holm", "Holm"), ("low tide", "")])
 def test_byline(raw, name):
     assert listing.find_byline(raw) == name
