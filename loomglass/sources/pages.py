@@ -108,11 +108,11 @@ def feed_documents(responses: DataFrame, url_col: str = "url", body: str = "body
     return scanned(responses, {"feed_format": s, "feed_title": s, "feed_link": s, "items": (f"array<{ITEM_SQL}>", pa.list_(ITEM))}, kernel, body, url_col, keep=keep)
 
 
-def articles(pages: DataFrame, url_col: str = "url", html: str = "html", keep: list[str] | None = None, prune: bool = True, site: dict | None = None, now=None) -> DataFrame:
+def articles(pages: DataFrame, url_col: str = "url", html: str = "html", keep: list[str] | None = None, prune: bool = True, site: dict | None = None, now=None, min_semantic: int = article.MIN_SEMANTIC) -> DataFrame:
     """The article of each page: metadata, body, strategy and the strategies tried."""
 
     def kernel(source, page):
-        a = vars(article.extract(source or "", page or "", prune, site, now))
+        a = vars(article.extract(source or "", page or "", prune, site, now, min_semantic))
         return {k: (v if v or k in ("word_count", "strategy", "attempts") else None) for k, v in a.items() if k != "url"}
 
     s, t = ("string", pa.string()), ("timestamp", UTC)
